@@ -5,7 +5,8 @@ For each host, the share of its pages that contain a line decides: a line on mor
 of a host with at least ``min_pages`` pages, and on at least ``min_pages`` pages, is boilerplate of that host
 and goes from all its pages. Lines travel as 64-bit hashes, each once per page; counts are gathered per task
 before the shuffle, so a line that a whole hot host repeats is one row per task. The marks go back to the pages
-by an equi-join on host and line, whose hot keys Spark splits, and texts are shuffled once, by page.
+by an equi-join on host and line, with the written table of boilerplate lines (small: broadcast by its
+measured size; large: a shuffled join whose hot keys Spark splits), and texts are shuffled once, by page.
 
 Defined results: a null text has no lines and stays null; pages without a host form a host of their own;
 rows are told apart by a hash of all their columns that matter (id, host, text), and exactly repeated rows
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 RATIO, MIN_PAGES = 0.2, 10
@@ -56,7 +59,7 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     """``docs`` as struct ``__row`` with ``clean`` (the text without boilerplate lines), n_lines and n_removed."""
     keyed = _keyed(docs, id_col, text_col, host_col)
     lines = page_lines(keyed)
-    marks = lines.join(boilerplate(lines, keyed, ratio, min_pages), ["__host", "line"])
+    marks = lines.join(materialise(boilerplate(lines, keyed, ratio, min_pages), "boilerplate"), ["__host", "line"])
     marks = marks.groupBy("__page", "__page2").agg(F.collect_set("line").alias("drop"))
     split = F.split(F.col("__text"), "\n")
     kept = F.filter(split, lambda line: ~F.array_contains("drop", F.xxhash64(line_key(line))) | (line_key(line) == ""))

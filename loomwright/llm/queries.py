@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontaminate, license_scan, line_dedup, quality_rules
+from loomwright.llm import bpe, chosen_path, decontaminate, html_text, license_scan, line_dedup, quality_rules, token_counts
 from loomwright.session import table
 
 
@@ -31,7 +31,30 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_ALL: list[Callable[[SparkSession, str], DataFrame]] = [op1_license_scan, op2_line_dedup, op3_decontaminate, op6_quality_rules]
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file, named through the package that holds them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digest=True)
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+_ALL: list[Callable[[SparkSession, str], DataFrame]] = [op1_license_scan, op2_line_dedup, op3_decontaminate, op6_quality_rules, op7_token_counts, op8_bpe, op9_html_text, op10_chosen_path]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
