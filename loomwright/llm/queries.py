@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, chosen_path, decontaminate, html_text, license_scan, line_dedup, quality_rules, suffix_dedup, token_counts
+from loomwright.llm import bpe, chosen_path, decontaminate, html_text, license_scan, line_dedup, lm_scores, quality_rules, suffix_dedup, token_counts
 from loomwright.session import table
 
 
@@ -30,6 +30,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_rules.quality_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,7 +62,7 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-_ALL: list[Callable[[SparkSession, str], DataFrame]] = [op1_license_scan, op2_line_dedup, op3_decontaminate, op4_suffix_dedup, op6_quality_rules, op7_token_counts, op8_bpe, op9_html_text, op10_chosen_path]
+_ALL: list[Callable[[SparkSession, str], DataFrame]] = [op1_license_scan, op2_line_dedup, op3_decontaminate, op4_suffix_dedup, op5_lm_scores, op6_quality_rules, op7_token_counts, op8_bpe, op9_html_text, op10_chosen_path]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
