@@ -5,90 +5,144 @@ an item of fewer words is one shingle of all its words, and documents are shingl
 partitioned by their number of shingles into classes that double in size. An item's sketch is the bottom k of
 its shingle hashes, with k = floor((1 - t) * s) + 1 for s shingles: a document that holds a share t of the item
 misses at most floor((1 - t) * s) of its shingles, so it holds at least one of the sketch - the search loses
-nothing. A class's documents' sketch is the shingles whose hash is at most the class's largest sketch hash;
-the two sketches are joined on the hash. Candidates are then verified on all shingles of the pair.
+nothing. A document's sketch for a class is its shingles up to the class's largest sketch hash. Documents that
+share a sketch hash with an item are candidates, verified on all shingles of the pair.
 
-Candidates are written to the shared folder, so that the planner knows their size before it joins them to the
-texts. The item tables are broadcast only up to ``BROADCAST_ROWS`` rows; beyond that the joins shuffle.
+The items' shingles go to every task while they are at most ``BROADCAST_ROWS`` rows (counted first); then one
+pass over the texts finds and verifies, with no shuffle of texts or shingles. Beyond that both sketches meet in
+a shuffled join, and only the candidates' texts are read again for the verification.
 
 Defined results: items without a word match nothing; a null or empty text holds nothing; repeated documents
-give each their id once; repeated items are items of their own if their ids differ; other columns are ignored.
+give each pair once; repeated items are items of their own if their ids differ; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm import wordhash
 from loomwright.session import materialise
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WIDTH, CONTAINED = 5, 0.8
 BROADCAST_ROWS = 1_000_000
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
-
-
-def _shingles(words: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """keys, h: one row per place; ``words`` has the array column w."""
-    at = words.where(F.size("w") >= width).select(*keys, "w", F.posexplode("w").alias("pos", "word"))
-    parts = [F.get("w", F.col("pos") + i) for i in range(1, width)]
-    full = F.col("pos") <= F.size("w") - width
-    return at.where(full).select(*keys, F.xxhash64("word", *parts).alias("h"))
-
-
-def _item_shingles(items: DataFrame) -> DataFrame:
-    """item, width, h, s (shingles of the item), class and whether h is in the item's sketch."""
-    words = items.select(F.col("item_id").alias("item"), words_of(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
-    every = None
-    for width in range(1, WIDTH + 1):
-        own = words.where(F.size("w") == width) if width < WIDTH else words.where(F.size("w") >= width)
-        own = _shingles(own, ["item"], width).distinct().withColumn("width", F.lit(width))
-        every = own if every is None else every.unionByName(own)
-    return every
-
-
-def _sketch(shingles: DataFrame, contained: float) -> DataFrame:
-    from pyspark.sql import Window
-
+PAIRS = "doc long, item long, n_shingles long, n_common long"
+
+
+def _runs(texts: pa.Array, widths: list[int]) -> Iterator[tuple[int, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]]:
+    """Per run of rows: first row, words per row, and per width the rows and hashes of all shingles."""
+    table = wordhash.alnum_table()
+    for first, data, offsets in wordhash.chunks(texts):
+        words, at = wordhash.hashes(data, offsets, table)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+        out = {}
+        for width in widths:
+            n = len(words) - width + 1
+            if n > 0:
+                h = wordhash.shingles(words, width)
+                inside = row[:n] == row[width - 1 :]
+                out[width] = row[:n][inside], h[inside]
+        yield first, np.diff(at), out
+
+
+def _rows(ids: str, widths: list[int], own_width: bool, most: dict[int, int] | None = None):
+    """Arrow batches of (id, text) to rows (id, width, h), each once: of an item its own width, of a document all
+    widths, up to the hash ``most`` of the width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, n_words, found in _runs(batch.column(1), widths):
+                for width, (row, h) in found.items():
+                    if own_width:
+                        own = np.minimum(n_words, WIDTH)[row] == width
+                        row, h = row[own], h[own]
+                    if most is not None:
+                        low = h <= np.uint64(most[width])
+                        row, h = row[low], h[low]
+                    pairs = np.unique(np.rec.fromarrays([keys[first + row], h], names="id,h"))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs["id"])), pa.array(np.full(len(pairs), width, np.int32)), pa.array(np.ascontiguousarray(pairs["h"]).view(np.int64))], names=[ids, "width", "h"])
+
+    return run
+
+
+def item_sketches(items: DataFrame, contained: float = CONTAINED) -> DataFrame:
+    """item, width, h, s (shingles of the item), its size class and whether h is in the item's sketch. Hashes
+    are ordered as unsigned numbers."""
+    rows = items.select(F.col("item_id").cast("long").alias("item"), "text").where("item IS NOT NULL")
+    rows = rows.mapInArrow(_rows("item", list(range(1, WIDTH + 1)), True), "item long, width int, h long").distinct()
     by = Window.partitionBy("item", "width")
-    ranked = shingles.withColumn("s", F.count("*").over(by)).withColumn("rank", F.row_number().over(by.orderBy("h")))
-    # in whole percents: floor((1 - t) * s) without rounding errors
-    keep = F.floor((100 - round(100 * contained)) * F.col("s") / 100) + 1
-    return ranked.select("item", "width", "h", "s", F.floor(F.log2(F.col("s").cast("double"))).cast("int").alias("size_class"), (F.col("rank") <= keep).alias("sketched"))
-
-
-def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    ranked = rows.withColumn("s", F.count("*").over(by)).withColumn("rank", F.row_number().over(by.orderBy(unsigned)))
+    keep = F.floor((100 - round(100 * contained)) * F.col("s") / 100) + 1  # in whole percents, free of rounding errors
+    size_class = F.floor(F.log2(F.col("s").cast("double"))).cast("int")
+    return ranked.select("item", "width", "h", "s", size_class.alias("size_class"), (F.col("rank") <= keep).alias("sketched"))
+
+
+def _search(shingles: dict[int, dict[str, np.ndarray]], contained: float):
+    """Arrow batches of (doc, text) to verified pairs, with all items at hand."""
+    percent = round(100 * contained)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            out: list[tuple[int, int, int, int]] = []
+            for first, _, found in _runs(batch.column(1), sorted(shingles)):
+                for width, (row, h) in found.items():
+                    x = shingles[width]
+                    low = np.flatnonzero(h <= x["most"])
+                    a, b = np.searchsorted(x["sketch"], h[low], "left"), np.searchsorted(x["sketch"], h[low], "right")
+                    hit = np.flatnonzero(b > a)
+                    pairs = {(int(row[low[i]]), int(item)) for i in hit for item in x["sketch_item"][a[i] : b[i]]}
+                    cuts = np.searchsorted(row, sorted({r for r, _ in pairs})), np.searchsorted(row, sorted({r for r, _ in pairs}), "right")
+                    held = {r: h[s:e] for r, s, e in zip(sorted({r for r, _ in pairs}), *cuts, strict=True)}
+                    for r, item in sorted(pairs):
+                        own = x["all"][x["item_start"][item] : x["item_start"][item + 1]]
+                        common = int(np.isin(own, held[r]).sum())
+                        if 100 * common >= percent * len(own):
+                            out.append((int(keys[first + r]), int(x["ids"][item]), len(own), common))
+            cols = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "item", "n_shingles", "n_common"])
+
+    return run
+
+
+def _tables(rows: list) -> dict[int, dict[str, np.ndarray]]:
+    """Collected sketch rows as sorted arrays per width."""
+    out = {}
+    for width in {r["width"] for r in rows}:
+        own = sorted((r["item"], r["h"] % (1 << 64), r["sketched"]) for r in rows if r["width"] == width)
+        ids, number = np.unique(np.array([r[0] for r in own], np.int64), return_inverse=True)
+        h, sketched = np.array([r[1] for r in own], np.uint64), np.array([r[2] for r in own], bool)
+        order = np.argsort(h[sketched], kind="stable")
+        out[width] = {"ids": ids, "all": h, "item_start": np.searchsorted(number, np.arange(len(ids) + 1)), "sketch": h[sketched][order], "sketch_item": number[sketched][order], "most": h[sketched].max()}
+    return out
+
+
+def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc, item, n_shingles, n_common, containment) of every pair with at least ``contained`` of the item."""
-    every = materialise(_sketch(_item_shingles(items), contained), "benchmark")
-    small = every.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
-    classes = every.where("sketched").groupBy("width", "size_class").agg(F.max("h").alias("most")).collect()  # at most 5 widths x 31 classes
-    words = docs.select(F.col("doc_id").alias("doc"), words_of(F.col("text")).alias("w"))
-    found = None
-    for width in sorted({c["width"] for c in classes}):
-        top = max(c["most"] for c in classes if c["width"] == width)
-        low = _shingles(words, ["doc"], width).where(F.col("h") <= F.lit(top))
-        hits = low.join(hint(every.where((F.col("width") == width) & F.col("sketched")).select("item", "h")), "h")
-        hits = hits.select("doc", "item").distinct()
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc long, item long, n_shingles long, n_common long, containment double")
-    pairs = materialise(found.distinct(), "candidates")
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(pairs.select("doc").distinct(), "doc", "left_semi")
-    words = texts.select("doc", words_of(F.col("text")).alias("w"))
-    verified = None
-    for width in sorted({c["width"] for c in classes}):
-        held = _shingles(words, ["doc"], width)
-        common = held.join(hint(every.where(F.col("width") == width).select("item", "h", "s")), "h").select("doc", "item", "s", "h").distinct()
-        common = common.groupBy("doc", "item", "s").agg(F.count("*").alias("n_common"))
-        verified = common if verified is None else verified.unionByName(common)
-    verified = verified.join(pairs, ["doc", "item"], "left_semi")
-    share = F.col("n_common") / F.col("s")
-    return verified.where(100 * F.col("n_common") >= round(100 * contained) * F.col("s")).select("doc", "item", F.col("s").alias("n_shingles"), "n_common", share.alias("containment"))
+    every = materialise(item_sketches(items, contained), "benchmark")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL")
+    if every.count() <= broadcast_rows:
+        verified = texts.mapInArrow(_search(_tables(every.collect()), contained), PAIRS).distinct()
+    else:
+        unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+        tops = every.where("sketched").groupBy("width").agg(F.max(unsigned).alias("most")).collect()  # at most five rows
+        most = {r["width"]: (r["most"] ^ -(1 << 63)) % (1 << 64) for r in tops}
+        low = texts.mapInArrow(_rows("doc", sorted(most), False, most), "doc long, width int, h long")
+        pairs = materialise(low.join(every.where("sketched").select("item", "width", "h"), ["width", "h"]).select("doc", "item").distinct(), "candidates")
+        again = texts.join(pairs.select("doc").distinct(), "doc", "left_semi")
+        held = again.mapInArrow(_rows("doc", sorted(most), False), "doc long, width int, h long").distinct()
+        common = held.join(every, ["width", "h"]).join(pairs, ["doc", "item"], "left_semi")
+        verified = common.groupBy("doc", "item", F.col("s").alias("n_shingles")).agg(F.count("*").alias("n_common"))
+        verified = verified.where(100 * F.col("n_common") >= round(100 * contained) * F.col("n_shingles"))
+    return verified.withColumn("containment", F.col("n_common") / F.col("n_shingles"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
