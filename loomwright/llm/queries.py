@@ -66,7 +66,9 @@ _ALL: list[Callable[[SparkSession, str], DataFrame]] = [op1_license_scan, op2_li
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
