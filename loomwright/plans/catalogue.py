@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["text_queries", "retrieval_queries"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -22,9 +23,18 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
+def _load() -> None:
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"loomwright.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
