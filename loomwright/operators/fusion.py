@@ -41,5 +41,5 @@ def fuse(lexical: DataFrame, dense: DataFrame, method: str = "rrf", weights: tup
 
 def explain(df: DataFrame) -> DataFrame:
     """Adds a line that says where a fused score comes from."""
-    part = lambda name: F.when(F.col(f"{name}_rank").isNotNull(), F.format_string(f"{name} #%d (%.4f)", F.col(f"{name}_rank"), F.col(f"{name}_score")))
-    return df.withColumn("explanation", F.concat_ws(", ", F.format_string("score %.4f", "score"), part("lexical"), part("dense")))
+    part = lambda name: F.when(F.col(f"{name}_rank").isNotNull(), F.format_string(f"{name} #%d (%.6f)", F.col(f"{name}_rank"), F.col(f"{name}_score")))
+    return df.withColumn("explanation", F.concat_ws(", ", F.format_string("score %.6f", "score"), part("lexical"), part("dense")))

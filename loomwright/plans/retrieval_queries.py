@@ -99,8 +99,8 @@ def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_phrase", f"""WITH toks AS (SELECT doc_id, {TOKENS} AS w FROM documents), stats AS (SELECT count(*) AS n, sum(len(w))::DOUBLE/count(*) AS avg_len FROM toks),
 q AS (SELECT * FROM (VALUES (1,['of','the']),(2,['in','the','and']),(3,['de','la'])) v(query_id, p)),
-at AS (SELECT doc_id, w, unnest(range(1, len(w)+1)) AS i FROM toks),
-tf AS (SELECT query_id, doc_id, count(*)::DOUBLE AS f FROM at JOIN q ON w[i:i+len(p)-1] = p GROUP BY ALL),
+pl AS (SELECT doc_id, w, unnest(range(1, len(w)+1)) AS i FROM toks),
+tf AS (SELECT query_id, doc_id, count(*)::DOUBLE AS f FROM pl JOIN q ON w[i:i+len(p)-1] = p GROUP BY ALL),
 idf AS (SELECT query_id, greatest(ln((any_value(n)-count(*)+0.5)/(count(*)+0.5)), 1e-6) AS idf FROM tf, stats GROUP BY query_id),
 s AS (SELECT query_id, doc_id, round(idf*f*2.2/(f+1.2*(0.25+0.75*len(w)/avg_len)), 6) AS score FROM tf JOIN idf USING (query_id) JOIN toks USING (doc_id), stats)
 SELECT query_id::BIGINT AS query_id, doc_id AS id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
@@ -210,7 +210,7 @@ def fuse_max(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(*two_lists(spark, d), "max").select("query_id", "id", "score", "rank")
 
 
-@query("score_explain", _fused("coalesce(0.65/(60+lr), 0) + coalesce(0.35/(60+dr), 0)", """, concat_ws(', ', format('score {:.4f}', score), CASE WHEN lr IS NOT NULL THEN format('lexical #{} ({:.4f})', lr, lsc) END, CASE WHEN dr IS NOT NULL THEN format('dense #{} ({:.4f})', dr, dsc) END) AS explanation"""))
+@query("score_explain", _fused("coalesce(0.65/(60+lr), 0) + coalesce(0.35/(60+dr), 0)", """, concat_ws(', ', format('score {:.6f}', score), CASE WHEN lr IS NOT NULL THEN format('lexical #{} ({:.6f})', lr, lsc) END, CASE WHEN dr IS NOT NULL THEN format('dense #{} ({:.6f})', dr, dsc) END) AS explanation"""))
 def score_explain(spark: SparkSession, d: str) -> DataFrame:
     return fusion.explain(fusion.fuse(*two_lists(spark, d), "rrf")).select("query_id", "id", "score", "rank", "explanation")
 
@@ -228,11 +228,11 @@ cand AS (SELECT query_id, doc_id, text, regexp_extract_all(lower(text), '[a-z0-9
 ct AS (SELECT query_id, doc_id, k, unnest(t) AS term FROM cand JOIN terms USING (query_id)),
 m AS (SELECT query_id, doc_id, term, len(k) AS n_tok, len(list_filter(k, lambda x: starts_with(x, term))) > 0 AS anywhere,
  list_min(list_transform(list_filter(list_zip(k, range(len(k))), lambda x: x[1] = term OR (length(term) >= 5 AND starts_with(x[1], term))), lambda x: x[2])) AS first FROM ct),
-df AS (SELECT query_id, term, sum(anywhere::INT) AS df, count(*) AS n FROM m GROUP BY ALL),
-idf AS (SELECT query_id, term, ln(1 + (n - df + 0.5)/(df + 0.5)) AS idf FROM df)"""
+rdf AS (SELECT query_id, term, sum(anywhere::INT) AS df, count(*) AS n FROM m GROUP BY ALL),
+ridf AS (SELECT query_id, term, ln(1 + (n - df + 0.5)/(df + 0.5)) AS idf FROM rdf)"""
 
 
-@query("rerank_coverage", RERANK_TERMS + "SELECT query_id, doc_id AS id, round(sum(CASE WHEN first IS NOT NULL THEN idf ELSE 0 END) / sum(idf), 6) AS coverage FROM m JOIN idf USING (query_id, term) GROUP BY ALL")
+@query("rerank_coverage", RERANK_TERMS + "SELECT query_id, doc_id AS id, round(sum(CASE WHEN first IS NOT NULL THEN idf ELSE 0 END) / sum(idf), 6) AS coverage FROM m JOIN ridf USING (query_id, term) GROUP BY ALL")
 def rerank_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rerank.features(pool(spark, d)).select("query_id", "id", F.round("coverage", 6).alias("coverage"))
 
