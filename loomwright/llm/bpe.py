@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 300_000
+CACHE = 1_000_000
 # The code points with the property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -84,7 +84,7 @@ class WordBpe:
         order = np.argsort(keys)
         self.n, self.keys, self.key_ranks = n, keys[order], ranks[order]
         self.sound = self._sound()
-        self.cache: dict[str, tuple[int, bytes, str]] = {}
+        self.cache: dict[str, tuple[bytes, str]] = {}
 
     def _pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank of merging x with y; very high if there is none."""
@@ -163,6 +163,8 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words into the cache: propose, check all pairs at once, merge what fails."""
+        if not words:
+            return
         letters = [self._letters(w) for w in words]
         cuts = [self.propose(s) for s in letters]
         sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
@@ -177,7 +179,7 @@ class WordBpe:
         for k in np.flatnonzero(failed):
             cuts[k] = self.merge(letters[k])
         for w, c in zip(words, cuts, strict=True):
-            self.cache[w] = (len(c), array("I", c).tobytes(), " ".join([self.names[t] for t in c]))
+            self.cache[w] = (array("I", c).tobytes(), " ".join([self.names[t] for t in c]))
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens in it stand as themselves, marked by a leading NUL."""
@@ -195,20 +197,20 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """Per text: number of ids, ids as little-endian 32-bit integers, decoded text."""
+        cut = [self.words(t) for t in texts]
+        every = set().union(*cut)
+        if len(self.cache) + len(every) > CACHE:
+            self.cache.clear()
+        new = every.difference(self.cache)
+        for w in [w for w in new if w[0] == "\0" and w[1:] in self.special]:
+            self.cache[w] = (array("I", [self.special[w[1:]]]).tobytes(), w[1:])
+            new.discard(w)
+        self.learn(sorted(new))
         out = []
-        for text in texts:
-            words = self.words(text)
-            if new := [w for w in dict.fromkeys(words) if w not in self.cache]:
-                if len(self.cache) > CACHE:
-                    self.cache.clear()
-                    new = list(dict.fromkeys(words))
-                if special := [w for w in new if w[0] == "\0" and w[1:] in self.special]:
-                    for w in special:
-                        self.cache[w] = (1, array("I", [self.special[w[1:]]]).tobytes(), w[1:])
-                    new = [w for w in new if w not in self.cache]
-                self.learn(new)
+        for words in cut:
             found = [self.cache[w] for w in words]
-            out.append((sum(f[0] for f in found), b"".join([f[1] for f in found]), " ".join([f[2] for f in found])))
+            ids = b"".join([f[0] for f in found])
+            out.append((len(ids) // 4, ids, " ".join([f[1] for f in found])))
         return out
 
 
@@ -222,6 +224,18 @@ def load(path: str) -> WordBpe:
     return _LOADED[path]
 
 
+def pieces(texts: list[str], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` characters."""
+    low = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield low, i + 1
+            low, held = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Per document: n_tokens, ids (array) and decoded text; or, with ``digest``, their SHA-256 sums."""
     kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
@@ -230,15 +244,14 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = batch.column(0)
-            for at in range(0, batch.num_rows, 512):
-                texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
-                done = bpe.encode(texts)
+            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            for low, high in pieces(texts):
+                done = bpe.encode(texts[low:high])
                 counts = pa.array([d[0] for d in done], pa.int64())
                 if digest:
                     cols = [pa.array([hashlib.sha256(d[1]).hexdigest() for d in done]), pa.array([hashlib.sha256(d[2].encode()).hexdigest() for d in done])]
                 else:
                     cols = [pa.array([np.frombuffer(d[1], "<u4").astype("int32") for d in done], pa.list_(pa.int32())), pa.array([d[2] for d in done])]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), counts, *cols], names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), counts, *cols], names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, {kind}")
