@@ -8,7 +8,7 @@ are ruled out first, exactly:
    others lose everything (if they have ``LENGTH`` bytes).
 2. Every window of ``LENGTH`` bytes has an anchor: the place of its smallest hash of ``GRAM`` bytes. Equal windows
    have equal anchors at equal places, so only windows whose anchor's hash occurs in two documents can matter.
-   Anchors (one place in about 17) go, packed, to the shard of their hash with a hash of their context, the bytes
+   Anchors (one place in about 16) go, packed, to the shard of their hash with a hash of their context, the bytes
    that windows with this anchor can reach. An anchor whose whole context (equal by hash) is also in a document
    with a smaller id is covered at once; a task does this for its own batch before it sends, so a context that a
    third of all documents share is one entry per batch, not per document.
@@ -39,7 +39,7 @@ from loomwright.llm import wordhash
 from loomwright.llm.suffix_sort import suffix_array
 from loomwright.session import materialise
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 SHARD_BYTES = 8 << 20
 BROADCAST_ROWS = 1_000_000
 BATCH_BYTES = 8 << 20
@@ -182,6 +182,7 @@ def _match(table: pa.Table) -> pa.Table:
     pos = e["pos"].astype(np.int64)
     start, end = np.maximum(pos - BEFORE, 0), np.minimum(pos + AFTER, length.astype(np.int64))
     group_hash = np.where(covered, np.uint64(0), h).view(np.int64)
+    wordhash.trim()
     return pa.table({"doc": doc[keep], "text_key": key[keep], "start": start[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep]})
 
 
@@ -191,12 +192,12 @@ def _check(table: pa.Table) -> pa.Table:
     begins = table["start"].to_numpy().astype(np.int64)
     texts = table["context"].to_pylist()
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    # 255 is no byte of UTF-8 text; bytes are raised by one so that none is zero, NUL and SOH fall together only
-    # with themselves: 255 stays the separator
+    # suffix_array takes no zero byte, and UTF-8 text has neither 254 nor 255: raise all by one, 255 separates
     data = np.frombuffer(b"\xff".join(texts), np.uint8)
     shifted = np.where(data == 255, np.uint8(255), data + np.uint8(1))
     first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     suffixes, common = suffix_array(shifted, LENGTH)
+    wordhash.trim()
     owner = np.repeat(np.arange(len(texts)), sizes + 1)[: len(data)]
     at = suffixes - first[owner[suffixes]]
     whole = at + LENGTH <= sizes[owner[suffixes]]

@@ -6,6 +6,8 @@ runs of about ``CHUNK`` bytes, so that memory is bounded by the longest text.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
+def trim() -> None:
+    """Give freed memory back, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
