@@ -84,12 +84,12 @@ def distinctive_terms(texts: DataFrame, cluster: str, text: str = "text", best:
     counted = rows.select("cluster", F.explode("w").alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("y"))
     df = rows.select("cluster", F.explode(F.array_distinct("w")).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("df"))
     everywhere = counted.groupBy("term").agg(F.sum("y").alias("n"))
-    totals = counted.groupBy("cluster").agg(F.sum("y").alias("Y"))
-    world = everywhere.agg(F.sum("n").alias("N"), F.count("*").alias("V"))
+    totals = counted.groupBy("cluster").agg(F.sum("y").alias("all_y"))
+    world = everywhere.agg(F.sum("n").alias("all_n"), F.count("*").alias("n_terms"))
     rows = counted.join(df, ["cluster", "term"]).join(everywhere, "term").join(totals, "cluster").join(sizes, "cluster").crossJoin(F.broadcast(world))  # one row
-    a = alpha * F.col("V")
+    a = alpha * F.col("n_terms")
     odds = lambda y, t: F.log((y + alpha) / F.greatest(t + a - y - alpha, F.lit(1e-9)))
-    score = odds(F.col("y"), F.col("Y")) - odds(F.col("n") - F.col("y"), F.col("N") - F.col("Y")) + 0.05 * F.log(1.0 + F.col("df"))
+    score = odds(F.col("y"), F.col("all_y")) - odds(F.col("n") - F.col("y"), F.col("all_n") - F.col("all_y")) + 0.05 * F.log(1.0 + F.col("df"))
     rows = rows.where((F.col("texts") < 4) | (F.col("df") >= 2)).select("cluster", "term", F.round(score, 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "term"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= best)

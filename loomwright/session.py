@@ -22,9 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compact: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors
-    and gives the planner true sizes, so that joins broadcast only what has been measured."""
+    and gives the planner true sizes, so that joins broadcast only what has been measured.
+    ``compact`` first gathers small partitions, so that a small table is not a file per task."""
     path = f"{shared_dir(df.sparkSession)}/loomwright/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
