@@ -13,7 +13,8 @@ shingles that more than one of its sets has. Runs are repeated until a pair at t
 less than the target: runs = log(1 - recall) / log(1 - sim^depth) at the usual depth 1.
 
 A pair may share buckets in many runs; it counts in the first one, which each bucket can tell from the two sets'
-own lists of buckets. So links are counted without writing pairs out; written are, per bucket, each set's number
+own lists of buckets. Sets whose sketches (a byte of each minwise value) are like no other's in a small bucket are
+not compared there. So links are counted without writing pairs out; written are, per bucket, each set's number
 of new links and the smallest set that it hangs together with. Classes are the connected components over
 those, found by stars that hook onto smaller ones, with each round written to the shared folder.
 
@@ -28,22 +29,31 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm import wordhash
+from loomwright.llm.grouping import map_groups
 from loomwright.session import materialise
 
 WIDTH, SIMILAR = 5, 0.8
 T = 64
 DEPTH = 6
-BUCKET, BLOCK, DENSE = 64, 512, 0.5
+BUCKET, BLOCK, DENSE = 64, 256, 0.5
 RECALL = 0.9999
+#: Sketches that agree in a share this much below the threshold are likely similar; 4 standard deviations.
+SLACK = 0.2
+#: Tables of ids up to this many rows (counted) go to every task; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 SEED = 20240607
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it is small."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 def runs_for(recall: float = RECALL, similar: float = SIMILAR) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similar)))
 
@@ -99,6 +109,7 @@ def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wordhash.mix(h + place * np.uint64(0xA24BAED4963EE407) + np.uint64(salt)), dtype=np.uint64)))
                     k[first : first + len(offsets) - 1] = sums[at[1:]] - sums[at[:-1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc", "k1", "k2"])
+        wordhash.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col)).where("doc IS NOT NULL").mapInArrow(run, schema)
 
@@ -121,7 +132,7 @@ def _grams_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def path_keys(texts: DataFrame, runs: int) -> DataFrame:
-    """rep, keys (runs x DEPTH path keys) of texts (rep, text) with a word."""
+    """rep, keys (runs x DEPTH path keys) and sketch (a byte of each minwise value) of texts (rep, text) with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +142,14 @@ def path_keys(texts: DataFrame, runs: int) -> DataFrame:
                     reps.append(rep)
                     sigs.append(signature(grams))
             if reps:
-                keys = paths(np.stack(sigs), runs, DEPTH).reshape(len(reps), -1).view(np.int64)
+                both = np.stack(sigs)
+                keys = paths(both, runs, DEPTH).reshape(len(reps), -1).view(np.int64)
+                sketch = [x.tobytes() for x in (both >> np.uint64(8)).astype(np.uint8)]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), flat], names=["rep", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), flat, pa.array(sketch, pa.binary())], names=["rep", "keys", "sketch"])
+        wordhash.trim()
 
-    return texts.mapInArrow(run, "rep long, keys array<long>")
+    return texts.mapInArrow(run, "rep long, keys array<long>, sketch binary")
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
@@ -157,87 +171,106 @@ def buckets(keyed: DataFrame) -> DataFrame:
     return top.select("rep", "run", F.col("x.key").alias("bucket"), F.col("x.n").alias("n"))
 
 
-def _compare(rows: pd.DataFrame, similar: float, between: bool) -> pd.DataFrame:
-    """New links of the sets of one bucket, or of the pairs of two blocks: rep, links, low."""
-    rows = rows.sort_values(["part", "rep"], kind="stable").reset_index(drop=True)
-    sets = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
-    column = (np.cumsum(shared) - 1)[column][shared[column]] if shared.any() else np.zeros(0, np.int64)
-    owner = owner[np.repeat(True, len(flat)) & shared[np.searchsorted(values, flat)]] if shared.any() else np.zeros(0, np.int64)
-    n, common = len(sets), np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    step = max(1, (1 << 22) // n)
-    for low in range(0, int(shared.sum()), step):
+def _compare(table: pa.Table, similar: float) -> pa.Table | None:
+    """New links of the sets of one bucket's pair of blocks: rep, links, low."""
+    between = table["a"][0].as_py() != table["b"][0].as_py()
+    reps, at = np.unique(table["rep"].to_numpy(), return_index=True)  # repeated rows count once
+    if len(reps) < 2:
+        return None
+    table = table.take(pa.array(at))
+    sets = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    column, owner = column[shared], owner[shared]
+    if not len(column):
+        return None
+    column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1
+    columns, common = int(column[-1]) + 1, np.zeros((n, n), np.float32)
+    step = min(columns, max(1, (1 << 22) // n))
+    for low in range(0, columns, step):
         a, b = np.searchsorted(column, (low, low + step))
         matrix = np.zeros((n, step), np.float32)
         matrix[owner[a:b], column[a:b] - low] = 1
         common += matrix @ matrix.T
-    union = sizes[:, None] + sizes[None, :] - common
-    linked = common >= similar * union - 1e-6
+    linked = common >= similar * (sizes[:, None] + sizes[None, :] - common) - 1e-6
     np.fill_diagonal(linked, False)
-    lists = np.stack([np.frombuffer(x, np.int64) for x in rows["buckets"]])
-    run = int(rows["run"].iloc[0])
-    new = linked.copy()
-    for r in range(run):
-        same = lists[:, r][:, None] == lists[:, r][None, :]
-        new &= ~(same & (lists[:, r] != 0)[:, None])
-    part = rows["part"].to_numpy()
     if between:
-        pairs = part[:, None] != part[None, :]
-        linked, new = linked & pairs, new & pairs
-    reps = rows["rep"].to_numpy()
+        part = table["part"].to_numpy()
+        linked &= part[:, None] != part[None, :]
+    if not linked.any():
+        return None
+    lists = np.stack([np.frombuffer(x, np.int64) for x in table["buckets"].to_pylist()])
+    mine = linked.copy()
+    for r in range(table["run"][0].as_py()):
+        mine &= (lists[:, r][:, None] != lists[:, r][None, :]) | (lists[:, r] == 0)[:, None]
     low = reps.copy()
+    none = np.iinfo(np.int64).max
     while True:  # smallest rep that each set hangs together with here
-        now = np.minimum(low, np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+        now = np.minimum(low, np.where(linked, low[None, :], none).min(axis=1))
         if (now == low).all():
             break
         low = now
-    out = pd.DataFrame({"rep": reps, "links": new.sum(axis=1).astype(np.int64), "low": low})
-    return out[(out["links"] > 0) | (out["low"] != out["rep"])]
+    keep = linked.any(axis=1)
+    return pa.table({"rep": reps[keep], "links": mine.sum(axis=1).astype(np.int64)[keep], "low": low[keep]})
+
+
+def _likely(table: pa.Table, similar: float) -> pa.Table | None:
+    """The sets of a bucket that are likely similar to another one by their sketches: rep, run, bucket, n."""
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, T)
+    n = len(sketch)
+    if n == 2:
+        agree = int((sketch[0] == sketch[1]).sum())
+        return table.select(["rep", "run", "bucket", "n"]) if agree >= math.floor((similar - SLACK) * T) else None
+    agree = np.zeros((n, n), np.uint8)
+    for t in range(T):
+        agree += sketch[:, t][:, None] == sketch[:, t][None, :]
+    np.fill_diagonal(agree, 0)
+    found = (agree >= math.floor((similar - SLACK) * T)).any(axis=1)
+    return table.select(["rep", "run", "bucket", "n"]).filter(pa.array(found)) if found.any() else None
 
 
 def links(texts: DataFrame, runs: int, similar: float = SIMILAR) -> DataFrame:
-    """rep, links, low: parts to be summed per rep."""
-    ended = materialise(buckets(materialise(path_keys(texts, runs), "keys")), "buckets")
-    lists = ended.groupBy("rep").agg(F.collect_list(F.struct("run", "bucket", "n")).alias("ends"))
+    """rep, links, low: parts to be summed per rep. Sets of small buckets whose sketches are like no other's there
+    go no further; only the others' texts are read again, cut into shingles and sent to their buckets."""
+    keyed = materialise(path_keys(texts, runs), "keys")
+    ended = materialise(buckets(keyed.select("rep", "keys")), "buckets")
+    small = ended.where(F.col("n") <= BLOCK).join(keyed.select("rep", "sketch"), "rep")
+    likely = map_groups(small, ["bucket"], lambda rows: _likely(rows, similar), "rep long, run int, bucket long, n long")
+    likely = materialise(likely.unionByName(ended.where(F.col("n") > BLOCK)), "likely")
+    lists = ended.join(sized(likely.select("rep").distinct()), "rep", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("run", "bucket")).alias("ends"))
+    sent = likely.groupBy("rep").agg(F.collect_list(F.struct("run", "bucket", "n")).alias("sent"))
+    lists = materialise(lists.join(sent, "rep"), "lists")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = batch.column(2).to_pylist()
-            at = {int(r): i for i, r in enumerate(batch.column(0).to_numpy(zero_copy_only=False))}
+            ends, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
-            for rep, grams in _grams_of(batch):
+            for i, (rep, grams) in enumerate(_grams_of(batch)):
                 own = np.zeros(runs, np.int64)
-                for e in ends[at[rep]]:
+                for e in ends[i]:
                     own[e["run"]] = e["bucket"]
-                for e in ends[at[rep]]:
+                for e in wanted[i]:
                     for c, v in zip(cols, (rep, e["run"], e["bucket"], e["n"], grams.tobytes(), own.tobytes()), strict=True):
                         c.append(v)
-                if len(cols[0]) >= 2000:
+                if len(cols[0]) >= 1000 or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
                     cols = [[], [], [], [], [], []]
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     names = ["rep", "run", "bucket", "n", "grams", "buckets"]
-    members = texts.join(lists, "rep").select("rep", "text", "ends").mapInArrow(sets, "rep long, run int, bucket long, n long, grams binary, buckets binary")
-    members = materialise(members, "members")
-    small = members.where(F.col("n") <= BLOCK).withColumn("part", F.lit(0))
-    out = "rep long, links long, low long"
-    near = small.groupBy("bucket").applyInPandas(lambda pdf: _compare(pdf.drop_duplicates("rep"), similar, False), out)
-    # large buckets: every pair of blocks meets once, and each block meets itself
-    large = members.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    large = large.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("blocks", "other")
-    far = large.groupBy("bucket", "a", "b").applyInPandas(lambda pdf: _compare(pdf.drop_duplicates("rep"), similar, bool(pdf["a"].iloc[0] != pdf["b"].iloc[0])), out)
-    return near.unionByName(far)
+    again = texts.join(sized(lists.select("rep")), "rep", "left_semi")
+    members = again.join(lists, "rep").select("rep", "text", "ends", "sent").mapInArrow(sets, "rep long, run int, bucket long, n long, grams binary, buckets binary")
+    # every bucket is met in pairs of blocks, each pair once, and each block with itself; small ones are one block
+    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("blocks", "other", "n")
+    return map_groups(members, ["bucket", "a", "b"], lambda rows: _compare(rows, similar), "rep long, links long, low long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,9 +300,11 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, recall: float = R
     words, that are similar enough to it) and n_copies (documents with its words, itself included)."""
     classes = materialise(text_classes(docs, id_col, text_col), "classes")
     copies = classes.groupBy("rep").agg(F.count("*").alias("n_copies"))
-    firsts = classes.where("doc = rep").select("rep").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(firsts, "rep", "left_semi").dropDuplicates(["rep"])
-    texts = materialise(texts, "texts")
+    copied = materialise(classes.where("doc <> rep").select(F.col("doc").alias("rep")).distinct(), "copied")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep IS NOT NULL")
+    texts = texts.join(sized(copied), "rep", "left_anti")
+    if not classes.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        texts = materialise(texts.dropDuplicates(["rep"]), "texts", compact=False)
     found = materialise(links(texts, runs_for(recall, similar), similar), "links")
     joined = components(found.where("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     per_rep = copies.join(found.groupBy("rep").agg(F.sum("links").alias("n_links")), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
