@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.functions.text import title_from_markdown, title_from_path
 
@@ -80,7 +81,7 @@ def decode_tolerant(raw: bytes | None) -> str:
     return (raw or b"").decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(decode_tolerant)
 
