@@ -18,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from loomwright.session import materialise
+
+WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases that count wherever their words stand consecutively, and their labels.
@@ -68,8 +70,12 @@ def _grams(spark: SparkSession) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text with A-Z in lower case; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text in lower case; none for null. Letters beyond A-Z change too, which moves no word's
+    border and no match, once the one that would become an ASCII letter (the Kelvin sign) is out of the way.
+    Splitting between words is ten times as fast as extracting them."""
+    clean = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\ufffd")))
+    clean = F.regexp_replace(clean, f"^{GAP}|{GAP}$", "")
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, GAP))
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +119,7 @@ def license_spans(voted: DataFrame, slack: int = SLACK, cover: float = COVER) ->
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: words, base phrases with their first and last place, labels and the best span's share."""
-    voted = votes(docs, id_col, text_col)
+    voted = materialise(votes(docs, id_col, text_col), "votes")  # else the texts are read for the counts and for the spans
     counted = voted.where("tmpl < 0").select("id", "text_key", F.col("diagonal").alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("base", "boolean"), ("covered", "double"), ("start_word", "long"), ("end_word", "long"))])
     spans = license_spans(voted).select("id", "text_key", F.lit(None).cast("int").alias("n"), "label", "base", "covered", "start_word", "end_word")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
