@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.session import spread
+
 # Elements that are never content, and parts of class and id names of navigation and chrome.
 CHROME_TAGS = frozenset("script style noscript nav header footer aside form button iframe svg template dialog".split())
 CHROME_NAMES = re.compile(
@@ -251,4 +253,4 @@ def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 rows.append((url, title(root), author(root), language(root), links(root, url or ""), text, "too little text" if len(text) < 80 else None))
             yield pd.DataFrame(rows, columns=["url", "title", "author", "language", "links", "text", "error"])
 
-    return pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(run, "url string, title string, author string, language string, links array<string>, text string, error string")
+    return spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInPandas(run, "url string, title string, author string, language string, links array<string>, text string, error string")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.session import spread
+
 #: Query matrices up to this many values go to every task; larger query sets are taken in several passes.
 BLOCK_VALUES = 4_000_000
 # Weights of the three kinds of features.
@@ -64,7 +66,7 @@ def hash_embed(df: DataFrame, text_col: str = "text", out: str = "embedding", di
     def embed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: hash_vector(t, dim))
 
-    return df.withColumn(out, embed(F.col(text_col)))
+    return spread(df).withColumn(out, embed(F.col(text_col)))
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False, digits: int = 6) -> DataFrame:

@@ -8,11 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables below this size are worth spreading.
+SMALL_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the folder ``sf_dir``, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores, for steps that cost far more than moving it: a small file is read by one task."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
