@@ -6,7 +6,8 @@ of a host with at least ``min_pages`` pages, and on at least ``min_pages`` pages
 and goes from all its pages. Lines travel as 64-bit hashes, each once per page; counts are gathered per task
 before the shuffle, so a line that a whole hot host repeats is one row per task. The marks go back to the pages
 by an equi-join on host and line, with the written table of boilerplate lines (small: broadcast by its
-measured size; large: a shuffled join whose hot keys Spark splits), and texts are shuffled once, by page.
+measured size; large: a shuffled join whose hot keys Spark splits), and texts are shuffled, by
+page, only where there are too many marked pages to send to every task.
 
 Defined results: a null text has no lines and stays null; pages without a host form a host of their own;
 rows are told apart by a hash of all their columns that matter (id, host, text), and exactly repeated rows
@@ -23,6 +24,8 @@ from loomwright.session import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 RATIO, MIN_PAGES = 0.2, 10
+#: Marked pages go to every task up to this many (counted); beyond that texts are shuffled to their marks.
+BROADCAST_ROWS = 300_000
 
 
 def line_key(line: Column) -> Column:
@@ -63,7 +66,8 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     marks = marks.groupBy("__page", "__page2").agg(F.collect_set("line").alias("drop"))
     split = F.split(F.col("__text"), "\n")
     kept = F.filter(split, lambda line: ~F.array_contains("drop", F.xxhash64(line_key(line))) | (line_key(line) == ""))
-    out = keyed.join(marks, ["__page", "__page2"], "left")
+    marks = materialise(marks, "marks")
+    out = keyed.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, ["__page", "__page2"], "left")
     kept = F.when(F.col("drop").isNull(), split).otherwise(kept)
     return out.select("__row", "__text", split.alias("__all"), kept.alias("__kept")).select(
         "__row",
