@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomwright.session import materialise
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 HOST_REJECT = 0.9
@@ -34,7 +34,9 @@ def _sorted_grams(words: Column) -> Column:
 
 def measures(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
-    return {"__text": text, "__words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0))}
+    clean = F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+    words = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, SPACE))
+    return {"__text": text, "__words": words}
 
 
 def document_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -108,10 +110,14 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
-    own = docs.columns
-    renamed = docs.select(F.struct(*own).alias("__row"), F.col(text_col).alias("__in"), F.col(host_col).alias("__src"))
-    measured = materialise(document_rules(renamed, "__in").select("__row", "__src", "base_failed"), "quality")
-    return judge(measured, "__src").where("kept").select("__row.*")
+    renamed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__in"), F.col(host_col).alias("__src"))
+    hosts = host_verdicts(document_rules(renamed.select("__in", "__src"), "__in"), "__src")
+    bad = materialise(hosts.where("host_rejected").select(F.col("host").alias("__host")), "hosts")
+    # measuring twice is cheaper than writing and moving the texts in between
+    rows = document_rules(renamed, "__in").withColumn("__task", F.spark_partition_id())
+    # the task's number keeps the filter above the measures: pushed below, it would work them out for every word
+    rows = rows.where((F.col("__task") >= 0) & ~F.col("base_failed"))
+    return rows.join(bad, rows["__src"].eqNullSafe(bad["__host"]), "left_anti").select("__row.*")
 
 
 ORACLE = rf"""
