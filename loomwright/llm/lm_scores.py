@@ -9,8 +9,9 @@ to score, and no executor holds the whole model, which grows with the corpus.
    share of a shard. There are at most 4 x shards of them; their counts go to all tasks.
 2. Tokens go, packed, to the shard of their word; hot words are spread over the shards by the word before.
 3. Each shard builds its trie - words, and below each the words before it, in Elias-Fano levels with quantised
-   values, as memory-mapped files in a temporary folder - and scores its tokens by successor search.
-4. Each document's parts are added.
+   values, as memory-mapped files in a temporary folder, one range of words after the other - and scores its
+   tokens by successor search.
+4. The parts of each batch's documents meet again, packed, and are added.
 
 A word's hash has 64 bits, of which the trie keeps 63. Defined results: a null text is one end token;
 repeated rows and rows with one id are rows of their own (told apart by task, batch and place); a null id counts as training; other columns are ignored; an empty table gives no rows.
@@ -33,8 +34,10 @@ from loomwright.llm.elias_fano import Trie
 from loomwright.session import materialise
 
 MU = 100.0
-SHARD_TOKENS = 4_000_000
-BATCH_BYTES = 24 << 20
+SHARD_TOKENS, SLICE_TOKENS = 4_000_000, 500_000
+BATCH_BYTES = 6 << 20
+#: Stands for a null id on the way.
+NO_ID = -(1 << 63)
 END, BEGIN = np.uint64(2), np.uint64(4)
 
 
@@ -91,6 +94,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
             train = ~np.concatenate([p.column(0).to_numpy(zero_copy_only=False) for p in parts])
             h, n = np.unique(word[train[row]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
+            del word, row, train, h, n
+            wordhash.trim()
 
     return rows.select("held", "text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -105,7 +110,7 @@ def _pack(shards: int, hot: np.ndarray):
         task = TaskContext.get().partitionId()
         for number, parts in enumerate(_gathered(batches, 2)):
             word, before, row = _tokens(parts, 2)
-            docs = np.concatenate([p.column(0).fill_null(-1).to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
+            docs = np.concatenate([p.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
             held = np.concatenate([p.column(1).to_numpy(zero_copy_only=False) for p in parts])
             batch = (task << 32) + number
             key = word.copy()
@@ -125,75 +130,110 @@ def _pack(shards: int, hot: np.ndarray):
                 out.append((int(s), docs[used].tobytes(), held[used].tobytes(), batch, used.astype(np.uint16).tobytes(), words.tobytes(), counts.astype(np.uint32).tobytes(), names.tobytes(), name_at.astype(small).tobytes(), owner.astype(np.uint16).tobytes()))
             cols = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 6]
+            del word, before, row, shard, key, order, out
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=PACKED.replace(" long", "").replace(" binary", "").split(", "))
+            del cols
+            wordhash.trim()
 
     return run
 
 
-SCORED = "batch long, row int, doc long, held boolean, n_tokens long, n_known long, base double, score double"
+PARTS = "batch long, rows binary, tokens binary, known binary, base binary, score binary, ended binary, docs binary, held binary"
+SCORED = "doc long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def _slices(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A shard's tokens (word, word before, row of the shard) in slices of about SLICE_TOKENS, by ranges of words."""
+    blobs, total, base = [], 0, 0
+    for r in table.select(["words", "counts", "names", "before", "owner", "docs"]).to_pylist():
+        words, counts, names = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["names"], np.uint64)
+        before = np.frombuffer(r["before"], np.uint16 if len(names) < 65536 else np.uint32)
+        blobs.append((words, counts, np.concatenate(([0], np.cumsum(counts, dtype=np.int64))), names, before, np.frombuffer(r["owner"], np.uint16), base))
+        total += len(before)
+        base += len(r["docs"]) // 8
+    n = max(1, -(-total // SLICE_TOKENS))
+    cuts = [np.uint64(k * ((1 << 64) // n)) for k in range(n)] + [None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        word, before, owner = [], [], []
+        for words, counts, offsets, names, name_at, own, first in blobs:
+            i = np.searchsorted(words, low)
+            j = len(words) if high is None else np.searchsorted(words, high)
+            a, b = offsets[i], offsets[j]
+            word.append(np.repeat(words[i:j], counts[i:j]))
+            before.append(names[name_at[a:b]])
+            owner.append(own[a:b].astype(np.int32) + np.int32(first))
+        if word and sum(map(len, word)):
+            yield np.concatenate(word), np.concatenate(before), np.concatenate(owner)
 
 
 def _score(hot: np.ndarray, hot_counts: np.ndarray, total: int, documents: int, mu: float):
-    """One shard's tokens to each row's parts."""
+    """One shard's tokens to each row's parts, packed as they came, by batch; a row's id comes with its end token."""
 
     def run(table: pa.Table) -> pa.Table:
-        words, befores, owners, docs, helds, batches, rows = [], [], [], [], [], [], []
-        base = 0
-        for r in table.to_pylist():
-            d = np.frombuffer(r["docs"], np.int64)
-            w = np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32))
-            names = np.frombuffer(r["names"], np.uint64)
-            number = np.frombuffer(r["before"], np.uint16 if len(names) < 65536 else np.uint32)
-            words.append(w)
-            befores.append(names[number])
-            owners.append(np.frombuffer(r["owner"], np.uint16).astype(np.int64) + base)
-            docs.append(d)
-            helds.append(np.frombuffer(r["held"], bool))
-            batches.append(np.full(len(d), r["batch"]))
-            rows.append(np.frombuffer(r["rows"], np.uint16))
-            base += len(d)
+        heads = table.select(["docs", "held", "batch", "rows"]).to_pylist()
+        doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in heads])
+        held = np.concatenate([np.frombuffer(r["held"], bool) for r in heads])
+        n_rows = len(doc)
+        tokens, known, base, score, ended = (np.zeros(n_rows) for _ in range(5))
+        for word, before, owner in _slices(table):
+            order = np.lexsort((before, word))
+            word, before, owner = word[order], before[order], owner[order]
+            new_word = np.concatenate(([True], word[1:] != word[:-1]))
+            new_pair = new_word | np.concatenate(([True], before[1:] != before[:-1]))
+            word_at, pair_at = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
+            train = ~held[owner]
+            count = np.bincount(word_at, weights=train).astype(np.int64)
+            names = word[new_word]
+            if len(hot):
+                place = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
+                is_hot = hot[place] == names
+                count[is_hot] = hot_counts[place[is_hot]]
+            pairs = np.bincount(pair_at, weights=train)
+            pair_word, pair_before, pair_count = word[new_pair], before[new_pair], count[word_at[new_pair]]
+            seen = pairs > 0
+            with tempfile.TemporaryDirectory() as folder:
+                used = np.flatnonzero(count > 0)
+                starts = np.append(np.searchsorted(pair_word[seen], names[used]), int(seen.sum()))
+                Trie.write(folder, names[used], np.log10(mu * count[used] / (total + 1)), starts, pair_before[seen], np.log10(pairs[seen] + mu * pair_count[seen] / (total + 1)))
+                trie = Trie(folder)
+                value = trie.score(pair_word, pair_before, math.log10(mu / (total + 1)))[pair_at]
+                del trie
+            c = count[word_at]
+            end = word == END
+            # each word is also the word before the next token; the begin mark is before each first one
+            value -= np.where(end, math.log10(documents + mu), np.log10(c + mu))
+            for out, weights in ((tokens, None), (known, c > 0), (base, np.log10(c + 1.0)), (score, value), (ended, end)):
+                out += np.bincount(owner, weights=weights, minlength=n_rows)
         del table
-        word, before, owner, doc, held, batch, row = (np.concatenate(x) for x in (words, befores, owners, docs, helds, batches, rows))
-        del words, befores, owners
-        order = np.lexsort((before, word))
-        word, before, owner = word[order], before[order], owner[order]
-        n = len(word)
-        new_word = np.concatenate(([True], word[1:] != word[:-1]))
-        new_pair = new_word | np.concatenate(([True], before[1:] != before[:-1]))
-        word_at, pair_at = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
-        train = ~held[owner]
-        count = np.bincount(word_at, weights=train).astype(np.int64)
-        names = word[new_word]
-        place = np.minimum(np.searchsorted(hot, names), max(0, len(hot) - 1))
-        if len(hot):
-            is_hot = hot[place] == names
-            count[is_hot] = hot_counts[place[is_hot]]
-        pairs = np.bincount(pair_at, weights=train)
-        pair_word, pair_before, pair_count = word[new_pair], before[new_pair], count[word_at[new_pair]]
-        seen = pairs > 0
-        with tempfile.TemporaryDirectory() as folder:
-            known = np.flatnonzero(count > 0)
-            starts = np.searchsorted(pair_word[seen], names[known])
-            Trie.write(folder, names[known], np.log10(mu * count[known] / (total + 1)), np.append(starts, int(seen.sum())), pair_before[seen], np.log10(pairs[seen] + mu * pair_count[seen] / (total + 1)))
-            trie = Trie(folder)
-            value = trie.score(pair_word, pair_before, math.log10(mu / (total + 1)))[pair_at]
-            del trie
-        c = count[word_at]
-        # each word is also the word before the next token; the begin mark is before each first one
-        value -= np.where(word == END, math.log10(documents + mu), np.log10(c + mu))
-        rows_n = len(doc)
-        add = lambda x=None: np.bincount(owner, weights=x, minlength=rows_n)
-        return pa.table(
-            {
-                "batch": batch, "row": row.astype(np.int32), "doc": doc, "held": held,
-                "n_tokens": add().astype(np.int64), "n_known": add(c > 0).astype(np.int64),
-                "base": add(np.log10(c + 1.0)), "score": add(value),
-            }
-        )
+        wordhash.trim()
+        cuts = np.cumsum([0, *(len(r["held"]) for r in heads)])
+        out: list[list] = [[] for _ in range(9)]
+        for r, i, j in zip(heads, cuts[:-1], cuts[1:], strict=True):
+            end = ended[i:j] > 0
+            row = (r["batch"], r["rows"], tokens[i:j].astype("<u4"), known[i:j].astype("<u4"), base[i:j], score[i:j], end, doc[i:j][end], held[i:j][end])
+            for c, v in zip(out, row, strict=True):
+                c.append(v.tobytes() if isinstance(v, np.ndarray) else v)
+        names = [x.split(" ")[0] for x in PARTS.split(", ")]
+        return pa.table({n: pa.array(c, pa.int64() if n == "batch" else pa.binary()) for n, c in zip(names, out, strict=True)})
 
     return run
 
 
+def _add(table: pa.Table) -> pa.Table:
+    """The parts of one batch's rows, added up."""
+    parts = table.to_pylist()
+    rows = [np.frombuffer(p["rows"], np.uint16) for p in parts]
+    n = int(max(r.max() for r in rows)) + 1
+    sums = {k: np.zeros(n) for k in ("tokens", "known", "base", "score")}
+    doc, held = np.zeros(n, np.int64), np.zeros(n, bool)
+    for p, r in zip(parts, rows, strict=True):
+        for k, kind in (("tokens", "<u4"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")):
+            sums[k][r] += np.frombuffer(p[k], kind)  # a row is in a part once
+        end = r[np.frombuffer(p["ended"], bool)]
+        doc[end], held[end] = np.frombuffer(p["docs"], np.int64), np.frombuffer(p["held"], bool)
+    return pa.table({"doc": doc, "held_out": held, "n_tokens": sums["tokens"].astype(np.int64), "n_known": sums["known"].astype(np.int64), "base": sums["base"], "score": sums["score"]})
+
+
 def lm_scores(docs: DataFrame, mu: float = MU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
@@ -205,10 +245,10 @@ def lm_scores(docs: DataFrame, mu: float = MU, id_col: str = "doc_id", text_col:
     hot_rows = sorted((r["word"] % (1 << 64), r["n"]) for r in counts.where(F.col("n") > total / (4 * shards)).collect())
     hot, hot_counts = np.array([h for h, _ in hot_rows], np.uint64), np.array([n for _, n in hot_rows], np.int64)
     packed = rows.mapInArrow(_pack(shards, hot), PACKED)
-    parts = packed.groupBy("shard").applyInArrow(_score(hot, hot_counts, total, documents, mu), SCORED)
-    summed = parts.groupBy("batch", "row", "doc", "held").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    parts = packed.groupBy("shard").applyInArrow(_score(hot, hot_counts, total, documents, mu), PARTS)
+    summed = parts.groupBy("batch").applyInArrow(_add, SCORED)
     return summed.select(
-        F.when(F.col("doc") >= 0, F.col("doc")).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"), "score",
     )
 
