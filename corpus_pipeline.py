@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = materialise(docs, f"stage{number}")
+            docs = materialise(docs, f"stage{number}", compact=False)
     return docs

@@ -109,6 +109,7 @@ def _search(shingles: dict[int, dict[str, np.ndarray]], contained: float):
                             out.append((int(keys[first + r]), int(x["ids"][item]), len(own), common))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "item", "n_shingles", "n_common"])
+        wordhash.trim()
 
     return run
 

@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = materialise(keyed.join(firsts, "digest").where((F.col("doc") > F.col("least")) & (F.col("n_bytes") >= LENGTH)).select("doc", "text_key").distinct(), "copies")
     rest = _ids(rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti").select("doc", "text_key", "text")
     packed = rest.mapInArrow(_send_anchors(shards), "shard long, docs binary, keys binary, lengths binary, entries binary, covered binary")
-    found = materialise(packed.groupBy("shard").applyInArrow(_match, FOUND), "anchors")
+    found = materialise(packed.groupBy("shard").applyInArrow(_match, FOUND), "anchors", compact=False)
     sure = found.where("anchor_hash = 0").select("doc", "text_key", "start", "end")
     open_ = found.where("anchor_hash <> 0")
     doubtful = materialise(open_.select("doc", "text_key").distinct(), "doubtful")
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut, "shard long, doc long, text_key long, start int, context binary")
     checked = contexts.groupBy("shard").applyInArrow(_check, "doc long, text_key long, start int, end int")
     spans = sure.unionByName(checked).groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows, copies, materialise(spans, "spans")
+    return rows, copies, materialise(spans, "spans", compact=False)
 
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
