@@ -6,7 +6,8 @@ would have come before the tokens were complete. Both checks are run for all tok
 with numpy: ranks rise from part to whole, so undoing the later of the two tokens at the border again and again
 shows every pair of symbols that ever met there. Only words with a failing pair are merged one by one.
 
-Works in Arrow batches inside the tasks: no shuffle, memory bounded by a batch and a cache of ``CACHE`` words.
+Works in Arrow batches inside the tasks: no shuffle, memory bounded by a batch and a cache of two generations of ``CACHE``
+words, of which those that are used again live on.
 
 Defined results: a null text is empty (no ids, empty decoded text); rows give one row each; very long texts and
 words are handled whole; other columns are ignored.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 1_000_000
+CACHE = 150_000
 # The code points with the property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -85,6 +86,7 @@ class WordBpe:
         self.n, self.keys, self.key_ranks = n, keys[order], ranks[order]
         self.sound = self._sound()
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def _pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank of merging x with y; very high if there is none."""
@@ -200,8 +202,11 @@ class WordBpe:
         cut = [self.words(t) for t in texts]
         every = set().union(*cut)
         if len(self.cache) + len(every) > CACHE:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         new = every.difference(self.cache)
+        for w in new & self.older.keys():
+            self.cache[w] = self.older[w]
+        new -= self.older.keys()
         for w in [w for w in new if w[0] == "\0" and w[1:] in self.special]:
             self.cache[w] = (array("I", [self.special[w[1:]]]).tobytes(), w[1:])
             new.discard(w)
