@@ -47,7 +47,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), kind=token_counts.Merges)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,25 @@ def test_token_counts_equal_library(spark, docs):
         assert r.n_tokens == len(model.encode(texts[r.doc_id] or "").ids)
 
 
+def test_token_counts_equal_sentencepiece(spark, docs, tmp_path):
+    """op7 counts what the named tokenizer itself encodes."""
+    from loomwright.llm.queries import op7_token_counts
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    plain = ["The quick brown fox jumps over the lazy dog.", "Internationalization of understanding requires extraordinary collaboration.", "Die Zusammenarbeit zwischen den Abteilungen ist außerordentlich wichtig.", " x  y   z" + " " * 37 + "w ", "<s>hi<0x0A></s>", "▁x▁", "\t\n\n", "aaaaaaaaaaaa bananananana"]
+    rng = random.Random(8)
+    plain += ["".join(rng.choice("aeinorst  ▁h.\n") for _ in range(300)) for _ in range(100)]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(ODD + plain)], "doc_id long, text string"))
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text for r in more.collect()}
+    rows = op7_token_counts(spark, str(tmp_path)).collect()
+    assert len(rows) == len(corpus()) + len(ODD + plain)
+    for r in rows:
+        ids = model.encode(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids) and r.score == pytest.approx(sum(map(model.get_score, ids)))
+
+
 def test_html_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site name</header><nav><ul><li><a href=/>Home</a></ul></nav>
     <div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p>First&nbsp;paragraph, with   a
