@@ -3,10 +3,11 @@
 A page is cut into blocks at block-level tags; each block has the path of block-level tags (with class and id)
 from the root. Per path, text length, punctuation and the share of text in links are summed over its blocks.
 Text per block and punctuation per block are smoothed over the blocks in page order, so that a path next to
-text gains, and fused by multiplication; links weaken the result. The best path shows the content's container;
-every path in the container at or over a threshold relative to the page's deviation is content, and so are
-headings and short blocks that stand inside the container. Paths through elements that are never article text
-(navigation, forms, asides, page header and footer, notices, adverts, comments and the like) take no part.
+text gains, and fused by multiplication; links weaken the result. Every path of the page at or over a threshold
+relative to the page's deviation is content. So are short blocks inside the element that holds all of these paths;
+where that is no less than the body, short blocks in the containers of these paths, and headings. Paths through
+elements that are never article text (navigation, forms, asides, page header and footer, notices, adverts,
+comments and the like) take no part.
 
 Runs in Arrow batches inside the tasks: no shuffle. Defined results: null, empty or text-less pages give an
 empty text; text outside all elements counts as body text; unclosed, crossed or stray tags never fail; rows
@@ -138,19 +139,39 @@ def extract(page: str | None) -> str:
     for (path, *_), t, m in zip(usable, per_text, per_mark, strict=True):
         chars, _, linked, n = paths[path]
         fused[path] = fused.get(path, 0.0) + t * (1 + m) * (1 - linked / chars) / n
-    weight = {p: fused[p] * paths[p][0] for p in fused}
-    best = max(weight, key=lambda p: (weight[p], -len(p)))
-    root = container(best)
     mean = sum(fused.values()) / len(fused)
     limit = 0.1 * math.sqrt(sum((v - mean) ** 2 for v in fused.values()) / len(fused))
+    best = max(fused, key=lambda p: (fused[p] * paths[p][0], -len(p)))
+    over = {p for p in fused if fused[p] >= limit and 2 * paths[p][2] < paths[p][0]} | {best}
+    holders = {container(p) for p in over}
+    root = common(holders)
+    whole = root in holders or not {x.split(".")[0] for x in root} <= {"html", "body"}
     keep = []
     for path, text, link, _ in usable:
-        inside = path[: len(root)] == root
-        if inside and (fused[path] >= limit or 2 * link < len(text)):
+        if path in over:
+            good = True
+        elif 2 * link >= len(text):
+            good = fused[path] >= limit and under(path, container(best))
+        elif under(path, root):
+            good = whole or bool(path) and path[-1].split(".")[0] in HEADINGS or any(under(path, h) for h in holders)
+        else:
+            good = False
+        if good:
             keep.append(text)
     return "\n".join(keep)
 
 
+def under(path: tuple[str, ...], holder: tuple[str, ...]) -> bool:
+    return path[: len(holder)] == holder
+
+
+def common(paths: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """What all paths begin with."""
+    low, high = min(paths), max(paths)
+    n = next((k for k, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+    return low[:n]
+
+
 def container(path: tuple[str, ...]) -> tuple[str, ...]:
     """The outermost article or main element on a path, else what holds its last block."""
     for k, x in enumerate(path):

@@ -250,6 +250,19 @@ def test_html_text(spark):
     assert got[2].text == "" and got[3].text == "" and got[4].text == "just text < here"
 
 
+def test_html_text_of_sibling_blocks():
+    """Without article or main, nothing of an article's sibling blocks is lost, and neither is a title outside them."""
+    long = "This is a longer sentence of the article, with commas, and it goes on for a while. " * 6
+    intro, body, last = "A short introduction, in one sentence.", long + "Body.", long + "Last."
+    page = f"<html><body><div id=content><h1>Title</h1><div class=intro><p>{intro}</p></div><div class=body><p>{body}</p><p>{last}</p></div></div><div class=sidebar><p>{long}</p></div></body></html>"
+    assert html_text.extract(page).split("\n") == ["Title", intro, body, last]
+    sections = "".join(f"<section id=s{i}><h2>Part {i}</h2><p>{long}{i}.</p></section>" for i in range(3))
+    links = "<div class=more><a href=/x>Read another one</a> <a href=/y>And one more</a></div>"
+    got = html_text.extract(f"<html><body><h1>Title</h1>{sections}{links}<footer>(c) us</footer></body></html>").split("\n")
+    assert got == ["Title", *[x for i in range(3) for x in (f"Part {i}", f"{long}{i}.")]]
+    assert html_text.extract(f"<body><div class=title><h1>Title</h1></div><div class=text><p>{body}</p></div></body>").split("\n") == ["Title", body]
+
+
 def brute_classes(rows: list[tuple], similar: float = 0.8):
     groups = collections.defaultdict(list)
     for i, t, *_ in rows:
