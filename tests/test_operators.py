@@ -171,3 +171,14 @@ def test_store(spark):
     rows = spark.range(100).repartition(5)
     assert [r.n for r in store.numbered(rows, [F.desc("id")], "n").orderBy(F.desc("id")).collect()] == list(range(100))
     assert sorted(r.id for r in store.even_sample(rows, [F.asc("id")], 7).collect()) == [int(i * 100 / 7) for i in range(7)]
+
+
+def test_resolve_finds_every_contained_text(spark):
+    bodies = ["alpha foo bar and more", "x foo barbaz y", "日本語の文章です", "Token", "tokens of foo  BAR\nqux", "nothing", None]
+    texts = ["foo bar", "bar", "日本語", "ken", "o bar q", "foo", "a foo b", "no such text", "", "!", "oo bar and mor"]
+    chunks = spark.createDataFrame([(i, "t", b) for i, b in enumerate(bodies)], "doc_id long, title string, text string")
+    golden = spark.createDataFrame([(q, "text", t, 1 + q % 2) for q, t in enumerate(texts)], "query_id long, kind string, value string, grade int")
+    form = lambda t: " ".join((t or "").lower().split())
+    want = {(q, i, 1 + q % 2) for q, t in enumerate(texts) for i, b in enumerate(bodies) if form(t) and form(t) in form(b)}
+    got = evaluate.resolve(golden, chunks).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {q for q, *_ in want} == {0, 1, 2, 3, 4, 5, 6, 10}
