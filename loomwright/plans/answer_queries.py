@@ -169,7 +169,7 @@ def negation_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query("negation_full")
 def negation_full(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", verify.is_negated(F.col("text")).alias("negated"), verify.is_claim(F.left("text", F.lit(200))).alias("claim"))
+    return table(spark, d, "documents").select("doc_id", verify.is_negated(F.col("text")).alias("negated"), verify.is_claim(F.col("text")).alias("claim"))
 
 
 @query("number_agreement", r"""SELECT o_orderkey AS id, regexp_extract_all(o_orderpriority || ' ' || o_totalprice::DECIMAL(15,2), '\d+(?:[.,]\d+)*%?')[-1] = o_totalprice::DECIMAL(15,2)::VARCHAR AS same_text,

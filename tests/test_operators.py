@@ -182,3 +182,12 @@ def test_resolve_finds_every_contained_text(spark):
     want = {(q, i, 1 + q % 2) for q, t in enumerate(texts) for i, b in enumerate(bodies) if form(t) and form(t) in form(b)}
     got = evaluate.resolve(golden, chunks).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and {q for q, *_ in want} == {0, 1, 2, 3, 4, 5, 6, 10}
+
+
+def test_claims_are_decided_on_whole_texts(spark, tmp_path):
+    from loomwright.plans.answer_queries import negation_full
+
+    long = "The corpus holds many documents " * 10
+    rows = [(1, long + "and is this so?"), (2, long + "and it is so."), (3, f"Here {long}follows:"), (4, long + "and is it? [1]")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.claim for r in negation_full(spark, str(tmp_path)).collect()} == {1: False, 2: True, 3: False, 4: False}
