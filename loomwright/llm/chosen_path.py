@@ -9,8 +9,11 @@ the bucket is dense - two random members agree at the next place with probabilit
 splitting would only part similar sets - or at the last depth. Small buckets are compared set by set; large
 ones in blocks of ``BLOCK`` sets, pair of blocks by pair of blocks, so no task holds more than two blocks.
 Similarities are exact: each bucket counts common shingles of all its pairs by one matrix product over the
-shingles that more than one of its sets has. Runs are repeated until a pair at the threshold is missed with
-less than the target: runs = log(1 - recall) / log(1 - sim^depth) at the usual depth 1.
+shingles that more than one of its sets has. A run whose bucket of a set lies at depth d finds a pair at the
+threshold with sim^d. All sets take part in log(1 - recall) / log(1 - sim) runs, which is enough where buckets
+lie at depth 1; sets with deeper ones go on, by other minwise values, until the product of 1 - sim^d over their own
+runs is below 1 - recall. A pair with one set that is done is found as surely as that set's product says, so
+only the others have to meet in further runs.
 
 A pair may share buckets in many runs; it counts in the first one, which each bucket can tell from the two sets'
 own lists of buckets. Sets whose sketches (a byte of each minwise value) are like no other's in a small bucket are
@@ -54,18 +57,19 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def runs_for(recall: float = RECALL, similar: float = SIMILAR) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similar)))
+def runs_for(recall: float = RECALL, similar: float = SIMILAR, depth: int = 1) -> int:
+    """Runs for the target recall of pairs at the threshold, with all buckets at ``depth``."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similar**depth)))
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(SEED)
+def _coefficients(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(seed)
     return random.integers(1, 1 << 63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 1 << 63, T, dtype=np.uint64)
 
 
-def signature(grams: np.ndarray) -> np.ndarray:
-    """T minwise values of a set of shingles."""
-    a, b = _COEFFICIENTS
+def signature(grams: np.ndarray, further: bool = False) -> np.ndarray:
+    """T minwise values of a set of shingles, for the first runs or for further ones."""
+    a, b = _COEFFICIENTS[further]
     out = np.full(T, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(grams), 4096):
         part = grams[at : at + 4096]
@@ -77,20 +81,20 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-_COEFFICIENTS = _coefficients()
+_COEFFICIENTS = _coefficients(SEED), _coefficients(SEED + 1)
 
 
-def paths(sig: np.ndarray, runs: int, depth: int) -> np.ndarray:
+def paths(sig: np.ndarray, runs: range, depth: int) -> np.ndarray:
     """(sets, runs, depth) path keys of signatures (sets, T): the place sampled next depends on run and path."""
     n = len(sig)
-    out = np.zeros((n, runs, depth), np.uint64)
+    out = np.zeros((n, len(runs), depth), np.uint64)
     rows = np.arange(n)
-    for r in range(runs):
+    for i, r in enumerate(runs):
         path = np.full(n, (SEED + 7919 * r) % (1 << 63), np.uint64)
         for d in range(depth):
             place = (wordhash.mix(path + np.uint64(d)) % np.uint64(T)).astype(np.int64)
             path = wordhash.mix(path * np.uint64(5) + sig[rows, place] + np.uint64(d))
-            out[:, r, d] = path
+            out[:, i, d] = path
     return out
 
 
@@ -143,20 +147,50 @@ def path_keys(texts: DataFrame, runs: int) -> DataFrame:
                     sigs.append(signature(grams))
             if reps:
                 both = np.stack(sigs)
-                keys = paths(both, runs, DEPTH).reshape(len(reps), -1).view(np.int64)
                 sketch = [x.tobytes() for x in (both >> np.uint64(8)).astype(np.uint8)]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), flat, pa.array(sketch, pa.binary())], names=["rep", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), _lists(paths(both, range(runs), DEPTH)), pa.array(sketch, pa.binary())], names=["rep", "keys", "sketch"])
         wordhash.trim()
 
     return texts.mapInArrow(run, "rep long, keys array<long>, sketch binary")
 
 
-def buckets(keyed: DataFrame) -> DataFrame:
-    """rep, run, bucket, n: where each set's path ends in each run; buckets of one set are left out."""
+def _lists(keys: np.ndarray) -> pa.ListArray:
+    keys = keys.reshape(len(keys), -1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """rep, sig: the minwise values for further runs of texts (rep, text) with a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(rep, signature(grams, True).tobytes()) for rep, grams in _grams_of(batch) if len(grams)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["rep", "sig"])
+        wordhash.trim()
+
+    return texts.mapInArrow(run, "rep long, sig binary")
+
+
+def further_keys(signed: DataFrame, runs: range) -> DataFrame:
+    """rep, keys (runs x DEPTH path keys) of signatures (rep, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, T)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(paths(sig, runs, DEPTH))], names=["rep", "keys"])
+
+    return signed.mapInArrow(run, "rep long, keys array<long>")
+
+
+def buckets(keyed: DataFrame, first_run: int = 0) -> DataFrame:
+    """rep, run, bucket, n, levels: where each set's path ends in each run, and how many sampled places a set must
+    share to be there; the bucket is null if the path ends alone. Paths alone from the start (level 1) are left out."""
     flat = keyed.select(F.posexplode("keys").alias("at", "key"))
     first = flat.where(F.col("at") % DEPTH == 0).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    each = F.transform(F.sequence(F.lit(0), (F.size("keys") / DEPTH).cast("int") - 1), lambda r: F.struct(r.alias("run"), F.slice("keys", r * DEPTH + 1, DEPTH).alias("path")))
+    each = F.transform(F.sequence(F.lit(0), (F.size("keys") / DEPTH).cast("int") - 1), lambda r: F.struct((r + first_run).alias("run"), F.slice("keys", r * DEPTH + 1, DEPTH).alias("path")))
     shared = keyed.select("rep", F.explode(each).alias("x")).select("rep", "x.*")
     shared = materialise(shared.withColumn("key", F.get("path", F.lit(0))).join(first, "key", "left_semi").drop("key"), "paths")
     parent = F.when(F.col("depth") > 0, F.get("path", F.col("depth") - 1))
@@ -164,11 +198,32 @@ def buckets(keyed: DataFrame) -> DataFrame:
     counts = nodes.groupBy("depth", "key", "parent").agg(F.count("*").alias("n"))
     counts = materialise(counts.where("n > 1"), "nodes")
     inner = counts.where("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(F.sum(F.col("n") * F.col("n")).alias("agree"))
-    ends = counts.join(inner, "key", "left").where((F.col("n") <= BUCKET) | (F.coalesce("agree", F.lit(0)) >= DENSE * F.col("n") * F.col("n")) | (F.col("depth") == DEPTH - 1))
-    ends = ends.select("key", "n", F.col("depth").alias("end"))
-    at = shared.select("rep", "run", F.posexplode("path").alias("depth", "key")).join(ends, "key")
-    top = at.groupBy("rep", "run").agg(F.min(F.struct("depth", "key", "n")).alias("x"))
-    return top.select("rep", "run", F.col("x.key").alias("bucket"), F.col("x.n").alias("n"))
+    is_end = (F.col("n") <= BUCKET) | (F.coalesce("agree", F.lit(0)) >= DENSE * F.col("n") * F.col("n")) | (F.col("depth") == DEPTH - 1)
+    marked = counts.join(inner, "key", "left").select("key", "n", is_end.alias("is_end"))
+    at = shared.select("rep", "run", F.posexplode("path").alias("depth", "key")).join(marked, "key")
+    top = at.groupBy("rep", "run").agg(F.min(F.when(F.col("is_end"), F.struct("depth", "key", "n"))).alias("x"), F.max("depth").alias("last"))
+    return top.select("rep", "run", F.col("x.key").alias("bucket"), F.col("x.n").alias("n"), F.coalesce(F.col("x.depth") + 1, F.col("last") + 2).alias("levels"))
+
+
+def unsure(ended: DataFrame, runs: int, similar: float, recall: float) -> DataFrame:
+    """rep of the sets whose ``runs`` runs miss a pair at the threshold with more than 1 - recall."""
+    one = math.log(1 - similar)
+    more = F.sum(F.log(1 - F.pow(F.lit(similar), F.col("levels"))) - one)
+    return ended.where("levels > 1").groupBy("rep").agg(more.alias("more")).where(F.col("more") + runs * one > math.log(1 - recall)).select("rep")
+
+
+def all_buckets(texts: DataFrame, ended: DataFrame, runs: int, similar: float, recall: float) -> tuple[DataFrame, int]:
+    """The first runs' buckets with those of the further runs that sets need, and the number of runs."""
+    most, signed = runs_for(recall, similar, DEPTH), None
+    while runs < most:
+        open_ = materialise(unsure(ended, runs, similar, recall), "unsure")
+        if open_.isEmpty():
+            break
+        signed = materialise(signatures(texts.join(sized(open_), "rep", "left_semi").select("rep", "text")), "signatures") if signed is None else signed.join(sized(open_), "rep", "left_semi")
+        upto = min(most, 2 * runs)
+        ended = ended.unionByName(materialise(buckets(materialise(further_keys(signed, range(runs, upto)), "keys"), runs), "buckets"))
+        runs = upto
+    return ended.where("bucket IS NOT NULL").drop("levels"), runs
 
 
 def _compare(table: pa.Table, similar: float) -> pa.Table | None:
@@ -234,11 +289,12 @@ def _likely(table: pa.Table, similar: float) -> pa.Table | None:
     return table.select(["rep", "run", "bucket", "n"]).filter(pa.array(found)) if found.any() else None
 
 
-def links(texts: DataFrame, runs: int, similar: float = SIMILAR) -> DataFrame:
+def links(texts: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """rep, links, low: parts to be summed per rep. Sets of small buckets whose sketches are like no other's there
     go no further; only the others' texts are read again, cut into shingles and sent to their buckets."""
+    runs = runs_for(recall, similar)
     keyed = materialise(path_keys(texts, runs), "keys")
-    ended = materialise(buckets(keyed.select("rep", "keys")), "buckets")
+    ended, runs = all_buckets(texts, materialise(buckets(keyed.select("rep", "keys")), "buckets"), runs, similar, recall)
     small = ended.where(F.col("n") <= BLOCK).join(keyed.select("rep", "sketch"), "rep")
     likely = map_groups(small, ["bucket"], lambda rows: _likely(rows, similar), "rep long, run int, bucket long, n long")
     likely = materialise(likely.unionByName(ended.where(F.col("n") > BLOCK)), "likely")
@@ -305,7 +361,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, recall: float = R
     texts = texts.join(sized(copied), "rep", "left_anti")
     if not classes.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         texts = materialise(texts.dropDuplicates(["rep"]), "texts", compact=False)
-    found = materialise(links(texts, runs_for(recall, similar), similar), "links")
+    found = materialise(links(texts, similar, recall), "links")
     joined = components(found.where("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     per_rep = copies.join(found.groupBy("rep").agg(F.sum("links").alias("n_links")), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     per_rep = per_rep.select("rep", F.coalesce("low", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

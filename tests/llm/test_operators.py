@@ -298,6 +298,24 @@ def test_chosen_path(spark, empty, monkeypatch, block):
     assert chosen_path.near_duplicates(empty).count() == 0
 
 
+def test_chosen_path_in_a_large_template_group(spark, monkeypatch):
+    """Pairs just over 0.8 among thousands of sets that share parts of a template. Small buckets make them lie as deep
+    as with ten times the sets."""
+    monkeypatch.setattr(chosen_path, "BUCKET", 6)
+    rng = random.Random(6)
+    template = [[f"t{b}.{i}" for i in range(20)] for b in range(16)]
+    rows = []
+    for i in range(1500):
+        w = [x for b in rng.sample(template, 8) for x in b] + [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((2 * i, " ".join(w)))
+        for p in (15, 65, 115, 185):
+            w[p] = f"x{i}"
+        rows.append((2 * i + 1, " ".join(w)))
+    got = {r.doc: (r.class_id, r.n_links) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [i for i in range(1500) if got[2 * i + 1] != (2 * i, 1) or got[2 * i] != (2 * i, 1)]
+    assert not lost, f"{len(lost)} of 1500 pairs lost"
+
+
 def test_chosen_path_keeps_rows_without_id(spark):
     rows = [(None, "a b c d e f", "", "", 0, "", 0), (None, "a b c d e f", "", "", 0, "", 0), (1, "a b c d e f", "", "", 0, "", 0), (2, "a b c d e f", "", "", 0, "", 0)]
     kept = chosen_path.keep_one(spark.createDataFrame(rows, SCHEMA))
