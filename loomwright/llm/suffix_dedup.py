@@ -45,7 +45,7 @@ BROADCAST_ROWS = 1_000_000
 BATCH_BYTES = 8 << 20
 #: A context's bytes before and after its anchor.
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
-ENTRY = np.dtype([("hash", "<u8"), ("context", "<u4"), ("pos", "<u4"), ("row", "<u2")])
+ENTRY = np.dtype([("hash", "<u8"), ("context", "<u8"), ("pos", "<u4"), ("row", "<u2")])
 
 
 def slide(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -101,7 +101,7 @@ def _send_anchors(shards: int):
         least = docs[row[new]][np.cumsum(new) - 1] if len(h) else docs[:0]
         covered = docs[row] > least
         entry = np.zeros(len(h), ENTRY)
-        entry["hash"], entry["context"], entry["pos"], entry["row"] = h, context >> np.uint64(32), pos, row
+        entry["hash"], entry["context"], entry["pos"], entry["row"] = h, context, pos, row
         shard = ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
         out = []
         order = np.argsort(shard, kind="stable")

@@ -164,6 +164,18 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.dedup_digest(empty).count() == 0
 
 
+def test_suffix_dedup_tells_contexts_apart():
+    """Contexts of one anchor that agree in half of their hash are not one."""
+    import pyarrow as pa
+
+    entry = np.zeros(3, suffix_dedup.ENTRY)
+    contexts = np.array([7 << 32, (7 << 32) + 1, 5 << 32], np.uint64)
+    entry["hash"], entry["context"], entry["row"] = 9, contexts if entry["context"].itemsize == 8 else contexts >> np.uint64(32), range(3)
+    packed = {"docs": [np.arange(3).tobytes()], "keys": [np.arange(3).tobytes()], "lengths": [np.full(3, 200, np.uint32).tobytes()], "entries": [suffix_dedup._columns(entry)], "covered": [b""]}
+    got = suffix_dedup._match(pa.table(packed))
+    assert sorted(got["doc"].to_pylist()) == [0, 1, 2] and got["anchor_hash"].to_pylist() == [9, 9, 9]
+
+
 def test_lm_scores(docs, empty):
     rows = lm_scores.lm_scores(docs).collect()
     assert len(rows) == len(corpus())
