@@ -15,6 +15,8 @@ are ruled out first, exactly:
 3. What is left - different contexts of one anchor hash - goes with its bytes to a shard. There all suffixes of all
    contexts are put in order by induced sorting with common prefixes (see suffix_sort: queues on disk, limited
    memory); neighbours that agree in ``LENGTH`` bytes are one string, and the smallest document of each decides.
+   Contexts of an anchor with more than ``HOT`` different ones would all be in one shard; they are compared window
+   by window instead (by 128 bits of hash), with the smallest document of each window found by partial aggregation.
 4. The covered stretches of each document are joined and cut out of its text.
 
 Texts are shuffled only for documents that have anything to check or to cut. Tables of ids are broadcast only
@@ -42,6 +44,8 @@ from loomwright.session import materialise
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 8 << 20
 BROADCAST_ROWS = 1_000_000
+#: Anchors with more different contexts than this are not sorted in one shard.
+HOT = 20_000
 BATCH_BYTES = 8 << 20
 #: A context's bytes before and after its anchor.
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
@@ -150,7 +154,7 @@ def _entries(raw: bytes) -> np.ndarray:
     return out
 
 
-FOUND = "doc long, text_key long, start int, end int, anchor_hash long"
+FOUND = "doc long, text_key long, start int, end int, anchor_hash long, hot boolean"
 
 
 def _match(table: pa.Table) -> pa.Table:
@@ -183,7 +187,7 @@ def _match(table: pa.Table) -> pa.Table:
     start, end = np.maximum(pos - BEFORE, 0), np.minimum(pos + AFTER, length.astype(np.int64))
     group_hash = np.where(covered, np.uint64(0), h).view(np.int64)
     wordhash.trim()
-    return pa.table({"doc": doc[keep], "text_key": key[keep], "start": start[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep]})
+    return pa.table({"doc": doc[keep], "text_key": key[keep], "start": start[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep], "hot": (contexts > HOT)[group][keep]})
 
 
 def _check(table: pa.Table) -> pa.Table:
@@ -231,6 +235,17 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _by_windows(contexts: DataFrame) -> DataFrame:
+    """As _check, for contexts that may be too many for one task."""
+    whole = contexts.where(F.octet_length("context") >= LENGTH)
+    each = whole.select("doc", "text_key", "start", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("at"))
+    window = F.unhex(F.md5(F.substring(F.col("context"), F.col("at") + 1, F.lit(LENGTH))))
+    windows = materialise(each.select("doc", "text_key", (F.col("start") + F.col("at")).alias("start"), window.alias("window")), "windows")
+    least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    gone = windows.join(materialise(least, "least"), "window").where("doc > least")
+    return gone.select("doc", "text_key", "start", (F.col("start") + LENGTH).alias("end"))
+
+
 def _ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows joined to a written table of (doc, text_key) by its counted size."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["doc", "text_key"], how)
@@ -253,7 +268,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = found.where("anchor_hash <> 0")
     doubtful = materialise(open_.select("doc", "text_key").distinct(), "doubtful")
     texts = _ids(rest, doubtful, "left_semi").dropDuplicates(["doc", "text_key"])
-    wanted = open_.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end", "anchor_hash")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,8 +282,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=["shard", "doc", "text_key", "start", "context"],
                 )
 
-    contexts = texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut, "shard long, doc long, text_key long, start int, context binary")
-    checked = contexts.groupBy("shard").applyInArrow(_check, "doc long, text_key long, start int, end int")
+    def contexts(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end", "anchor_hash")).alias("wanted"))
+        return texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut, "shard long, doc long, text_key long, start int, context binary")
+
+    checked = contexts(open_.where("NOT hot")).groupBy("shard").applyInArrow(_check, "doc long, text_key long, start int, end int")
+    if not open_.where("hot").isEmpty():
+        checked = checked.unionByName(_by_windows(contexts(open_.where("hot"))))
     spans = sure.unionByName(checked).groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return rows, copies, materialise(spans, "spans", compact=False)
 

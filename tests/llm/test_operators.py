@@ -176,6 +176,35 @@ def test_suffix_dedup_tells_contexts_apart():
     assert sorted(got["doc"].to_pylist()) == [0, 1, 2] and got["anchor_hash"].to_pylist() == [9, 9, 9]
 
 
+def test_suffix_dedup_splits_hot_anchors(spark, docs, monkeypatch):
+    """No task sorts the contexts of an anchor that has more than a bound, and the result is the same."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    tails = [" ".join(word() for _ in range(8)) for _ in range(20)]
+    hot = [(5000 + i, " ".join(word() for _ in range(8)) + " A LINE OF FORTY BYTES, ON EVERY PAGE " + (tails[i % 20] if i % 2 else tails[i % 20][:9] + word() + word())) for i in range(150)]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(hot, "doc_id long, text string")).cache()
+    rows = lambda: sorted(map(tuple, suffix_dedup.dedup_digest(more).collect()))
+    want = rows()
+    assert sum(r[2] for r in want if r[0] >= 5000) > 1000
+    split = []
+    whole = suffix_dedup._by_windows
+    monkeypatch.setattr(suffix_dedup, "_by_windows", lambda contexts: split.append(contexts.count()) or whole(contexts))
+    monkeypatch.setattr(suffix_dedup, "_match", _with_hot(3))
+    assert rows() == want and split[0] > 100
+
+
+def _with_hot(hot: int):
+    """_match with another bound, which the tasks' own modules get."""
+
+    def run(table):
+        from loomwright.llm import suffix_dedup as module
+
+        module.HOT = hot
+        return module._match(table)
+
+    return run
+
+
 def test_lm_scores(docs, empty):
     rows = lm_scores.lm_scores(docs).collect()
     assert len(rows) == len(corpus())
