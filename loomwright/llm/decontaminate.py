@@ -1,12 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, verified exactly.
 
 Items and documents are sets of five-word shingles (lower-case words of letters and digits), hashed to 64 bits;
-an item of fewer words is one shingle of all its words, and documents are shingled at that width too. Items are
-partitioned by their number of shingles into classes that double in size. An item's sketch is the bottom k of
+an item of fewer words is one shingle of all its words, and documents are shingled at that width too. Each item's
+class by size (doubling) is in the table of sketches, but the search does not use it yet. An item's sketch is the bottom k of
 its shingle hashes, with k = floor((1 - t) * s) + 1 for s shingles: a document that holds a share t of the item
 misses at most floor((1 - t) * s) of its shingles, so it holds at least one of the sketch - the search loses
-nothing. A document's sketch for a class is its shingles up to the class's largest sketch hash. Documents that
-share a sketch hash with an item are candidates, verified on all shingles of the pair.
+nothing. A document's sketch is its shingles up to the largest sketch hash of all items of their width, so one
+short item can make it all of the document's shingles. Documents that share a sketch hash with an item are candidates, verified on all shingles of the pair.
 
 The items' shingles go to every task while they are at most ``BROADCAST_ROWS`` rows (counted first); then one
 pass over the texts finds and verifies, with no shuffle of texts or shingles. Beyond that both sketches meet in
