@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Tables below this size are worth spreading.
 SMALL_BYTES = 64 << 20
+#: Folders of our own by application, for local sessions without a shared folder.
+_OWN: dict[str, str] = {}
+#: Written tables of the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,20 +31,67 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a local session (one machine) gets a
+    folder of our own that goes with the process; on a cluster that would not be shared, so it is an error."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+    if context.applicationId not in _OWN:
         folder = tempfile.mkdtemp(prefix="loomwright-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        path = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        _OWN[context.applicationId] = f"file://{folder}"
+    return _OWN[context.applicationId]
+
+
+def _on_disk(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def materialise(df: DataFrame, label: str, compact: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors
     and gives the planner true sizes, so that joins broadcast only what has been measured.
-    ``compact`` first gathers small partitions, so that a small table is not a file per task."""
-    path = f"{shared_dir(df.sparkSession)}/loomwright/{label}-{uuid.uuid4().hex}"
+    ``compact`` first gathers small partitions, so that a small table is not a file per task.
+
+    The table goes with the ``scratch`` scope that is open, or at the latest with the driver's process."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/loomwright-{spark.sparkContext.applicationId}"
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
     (df.hint("rebalance") if compact else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, where = _on_disk(spark, root)
+    files.deleteOnExit(where)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The tables written inside a ``scratch`` scope."""
+
+    def __init__(self, paths: list[str]):
+        self._paths = paths
+
+    def keep(self, df: DataFrame, label: str, compact: bool = True) -> DataFrame:
+        """``df`` written as a table that outlives the scope."""
+        out = materialise(df, label, compact)
+        path = self._paths.pop()
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+        return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Removes the tables that are written inside, but for those kept. What leaves the scope must not read them."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield Scratch(paths)
+    finally:
+        _SCOPES.pop()
+        for path in paths:
+            files, where = _on_disk(spark, path)
+            files.delete(where, True)
