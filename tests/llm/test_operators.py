@@ -109,12 +109,12 @@ def test_line_dedup(docs, empty):
     assert line_dedup.clean_pages(empty).count() == 0
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_decontaminate(spark, docs, empty, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_decontaminate(spark, docs, empty, broadcast_bytes):
     passage = corpus()[46][1].split("\n")
     items = [(1, " ".join(passage[4:8])), (2, "nothing of this occurs here at all"), (3, "cc by"), (4, None), (5, ""), (6, " ".join(passage[4:7]) + " and some more"), (1, " ".join(passage[4:8]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc, r.item): (r.n_shingles, r.n_common) for r in decontaminate.contaminated(docs, bench, broadcast_rows=broadcast_rows).collect()}
+    got = {(r.doc, r.item): (r.n_shingles, r.n_common) for r in decontaminate.contaminated(docs, bench, broadcast_bytes=broadcast_bytes).collect()}
     want = {}
     for item, t in items:
         w = ALNUM.findall((t or "").translate(FOLD))
@@ -131,6 +131,38 @@ def test_decontaminate(spark, docs, empty, broadcast_rows):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_paths_agree_on_repeated_ids(spark):
+    """Several texts under one id: each is judged by itself, alike with and without broadcast, and only its own row goes."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(rng.randrange(30), text(rng.choice([1, 2, 4, 6, 9, 20, 40, 90]))) for _ in range(40)]
+    rows = []
+    for i in range(200):
+        own = rng.choice(items)[1].split()
+        cut = own[: rng.choice([len(own), len(own) // 2, len(own) - 1])]
+        rows.append((rng.randrange(60), f"{text(rng.randrange(12))} {' '.join(cut)} {text(rng.randrange(12))}", "clash"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, doc string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def grams(t: str, k: int) -> set:
+        w = t.split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want, leaks = {}, set()
+    for d, t, _ in rows:
+        for item, x in items:
+            s = grams(x, min(5, len(x.split())))
+            n = len(s & grams(t, min(5, len(x.split()))))
+            if 100 * n >= 80 * len(s):
+                want[d, item] = max(want.get((d, item), (0, 0)), (n, -len(s)))
+                leaks.add((d, t))
+    for size in (1 << 20, 0):
+        got = {(r.doc, r.item): (r.n_common, -r.n_shingles) for r in decontaminate.contaminated(docs, bench, broadcast_bytes=size).collect()}
+        assert got == want and len(want) > 100
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted(r for r in rows if r[:2] not in leaks)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for _ in range(150):
