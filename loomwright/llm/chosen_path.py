@@ -21,9 +21,10 @@ not compared there. So links are counted without writing pairs out; written are,
 of new links and the smallest set that it hangs together with. Classes are the connected components over
 those, found by stars that hook onto smaller ones, with each round written to the shared folder.
 
-Defined results: documents without words are never near duplicates of anything but texts without words, with
-which they are one class; documents of fewer than five words are one shingle; repeated rows are
-copies; null ids are not allowed as class ids, rows without an id are left out; other columns are ignored.
+Defined results: rows are told apart by id and text: repeated rows are copies, and different texts under one id
+take part as documents of their own, with a row of the result each; documents without words are never near
+duplicates of anything but texts without words, with which they are one class; documents of fewer than five words
+are one shingle; null ids are not allowed as class ids, rows without an id are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm import wordhash
 from loomwright.llm.grouping import map_groups
-from loomwright.session import materialise
+from loomwright.session import materialise, scratch
 
 WIDTH, SIMILAR = 5, 0.8
 T = 64
@@ -118,14 +119,34 @@ def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col)).where("doc IS NOT NULL").mapInArrow(run, schema)
 
 
-def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, rep: the smallest id with the same words. The smallest is found with partial aggregation, so a hot
-    class is one row per task; the join back splits hot classes."""
-    keyed = materialise(_words(docs, id_col, text_col), "words")
+def text_classes(keyed: DataFrame) -> DataFrame:
+    """doc, rep: the smallest id with the same words, of (doc, k1, k2). The smallest is found with partial
+    aggregation, so a hot class is one row per task; the join back splits hot classes."""
     reps = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "reps")
     return keyed.join(reps, ["k1", "k2"]).select("doc", "rep")
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def several_texts(rows: DataFrame, keyed: DataFrame) -> DataFrame | None:
+    """doc, text_key, node: a number of its own for each text of ids that stand on texts with different words; None if
+    there is no such id. Of rows (doc, text) and their word keys."""
+    spans = [f(k).alias(f"{f.__name__}{k}") for k in ("k1", "k2") for f in (F.min, F.max)]
+    mixed = materialise(keyed.groupBy("doc").agg(*spans).where("mink1 <> maxk1 OR mink2 <> maxk2").select("doc"), "mixed")
+    if mixed.isEmpty():
+        return None
+    each = materialise(rows.join(sized(mixed), "doc").select("doc", _text_key(F.col("text")).alias("text_key")).distinct(), "each")
+    salt = 0
+    while True:  # a number that is nobody else's; the first try does but for one table in 10^9
+        salt += 1
+        own = materialise(each.withColumn("node", F.xxhash64(F.lit(salt), "doc", "text_key")), "numbers")
+        twice = own.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        if twice.isEmpty() and own.join(keyed.select(F.col("doc").alias("node")), "node", "left_semi").isEmpty():
+            return own
+
+
 def _grams_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     table = wordhash.alnum_table()
     ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -333,17 +354,20 @@ def components(edges: DataFrame) -> DataFrame:
     """node, low: the smallest node of each node's component, for edges (a, b) without self loops.
 
     Each round, every node hooks onto the smallest node it sees; neighbours are then pointed at each other's
-    smallest. Edge counts don't grow, and every round is a written table, so a lost executor costs one round."""
+    smallest. Edge counts don't grow. Each step is a written table, so a lost executor costs one step, the smallest
+    of a hub with many neighbours is found with partial aggregation, and the join back knows its sizes: a small
+    side goes to every task, else Spark splits the hub's rows."""
     both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = materialise(both, "edges")
     while True:
         # large star: larger neighbours of a node hang on the smallest of its neighbourhood
         sides = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = sides.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        lowest = materialise(sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
+        large = sides.where("b > a").join(sized(lowest), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = materialise(large.distinct(), "large")
         # small star: smaller neighbours of a node, and the node, hang on the smallest of them
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        lowest = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
+        small = large.join(sized(lowest), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         after = materialise(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
         changed = after.exceptAll(now).limit(1).count() + now.exceptAll(after).limit(1).count()
         now = after
@@ -351,25 +375,59 @@ def components(edges: DataFrame) -> DataFrame:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
 
 
+def _classes(rows: DataFrame, similar: float, recall: float) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, node, class_id, top, n_links, n_copies; numbers of texts as from several_texts) of rows (doc, text) with
+    ids. ``node`` is the id, or the number of a text whose id has several; ``top`` is the class's node of the smallest
+    id. All other tables on the way are removed."""
+    with scratch(rows.sparkSession) as tables:
+        keyed = materialise(_words(rows, "doc", "text"), "words")
+        own = several_texts(rows, keyed)
+        if own is not None:
+            own = tables.keep(own, "numbers")
+            rows = numbered(rows, own).select(F.col("node").alias("doc"), "text")
+            keyed = materialise(_words(rows, "doc", "text"), "words")
+        classes = materialise(text_classes(keyed), "classes")
+        copies = classes.groupBy("rep").agg(F.count("*").alias("n_copies"))
+        copied = materialise(classes.where("doc <> rep").select(F.col("doc").alias("rep")).distinct(), "copied")
+        texts = rows.withColumnRenamed("doc", "rep").join(sized(copied), "rep", "left_anti")
+        if not classes.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            texts = materialise(texts.dropDuplicates(["rep"]), "texts", compact=False)
+        found = materialise(links(texts, similar, recall), "links")
+        joined = components(found.where("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+        per_rep = copies.join(found.groupBy("rep").agg(F.sum("links").alias("n_links")), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+        per_rep = materialise(per_rep.select("rep", F.coalesce("low", "rep").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "per-class")
+        out = classes.join(per_rep, "rep").select(F.col("doc").alias("node"), "group", "n_links", "n_copies")
+        if own is None:
+            return tables.keep(out.select(F.col("node").alias("doc"), "node", F.col("group").alias("class_id"), F.col("group").alias("top"), "n_links", "n_copies"), "found"), None
+        out = materialise(out.join(own.select(F.col("node"), F.col("doc").alias("real")), "node", "left").withColumn("doc", F.coalesce("real", "node")), "found")
+        tops = materialise(out.groupBy("group").agg(F.min(F.struct("doc", "node")).alias("x")), "tops")
+        out = out.join(tops, "group").select("doc", "node", F.col("x.doc").alias("class_id"), F.col("x.node").alias("top"), "n_links", "n_copies")
+        return tables.keep(out, "found"), own
+
+
+def numbered(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows (doc, text, ...) with their node."""
+    keyed = rows.withColumn("text_key", _text_key(F.col("text")))
+    return keyed.join(sized(own), ["doc", "text_key"], "left").withColumn("node", F.coalesce("node", "doc")).drop("text_key")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc, class_id (the smallest id that it hangs together with), n_links (different texts, by
     words, that are similar enough to it) and n_copies (documents with its words, itself included)."""
-    classes = materialise(text_classes(docs, id_col, text_col), "classes")
-    copies = classes.groupBy("rep").agg(F.count("*").alias("n_copies"))
-    copied = materialise(classes.where("doc <> rep").select(F.col("doc").alias("rep")).distinct(), "copied")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep IS NOT NULL")
-    texts = texts.join(sized(copied), "rep", "left_anti")
-    if not classes.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        texts = materialise(texts.dropDuplicates(["rep"]), "texts", compact=False)
-    found = materialise(links(texts, similar, recall), "links")
-    joined = components(found.where("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    per_rep = copies.join(found.groupBy("rep").agg(F.sum("links").alias("n_links")), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    per_rep = per_rep.select("rep", F.coalesce("low", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return classes.join(materialise(per_rep, "per-class"), "rep").select("doc", "class_id", "n_links", "n_copies")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
+    return _classes(rows, similar, recall)[0].select("doc", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest doc_id. Rows without an id stay."""
-    found = near_duplicates(docs, similar, recall)
-    gone = materialise(found.where("doc <> class_id").select(F.col("doc").alias("__doc")).distinct(), "copies")
-    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
+    """``docs`` with one row of each class: the one with the smallest doc_id; of rows that repeat an id and its words
+    any one. Rows without an id stay."""
+    wrapped = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
+    found, own = _classes(wrapped.select("doc", "text").where("doc IS NOT NULL"), similar, recall)
+    wrapped = numbered(wrapped, own) if own is not None else wrapped.withColumn("node", F.col("doc"))
+    gone = materialise(found.where("node <> top").select("node").distinct(), "copies")
+    kept = wrapped.join(sized(gone), "node", "left_anti")
+    twice = materialise(found.where("node = top").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "repeated")
+    if not twice.isEmpty():
+        again = kept.join(sized(twice), "node", "left_semi").dropDuplicates(["node"])
+        kept = kept.join(sized(twice), "node", "left_anti").unionByName(again)
+    return kept.select("row.*")

@@ -395,6 +395,32 @@ def test_chosen_path_keeps_rows_without_id(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None", "None"]
 
 
+def test_chosen_path_with_several_texts_under_one_id(spark):
+    """No text under a shared id is lost: links, classes and what stays are those of the same texts under own ids."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, own = [], []
+    for i in range(40):
+        w = [word() for _ in range(60)]
+        near = [*w[:30], "changed", *w[31:]]
+        for j, text in enumerate((w, near, [word() for _ in range(50)])):
+            rows.append((rng.randrange(25), " ".join(text), f"{i}.{j}"))
+    rows += [rows[0], rows[0], (rows[1][0], rows[1][1].upper() + "!", "again")]
+    texts = sorted({(r[0], r[1]) for r in rows})
+    number = {t: n for n, t in enumerate(texts)}  # in order of ids, so that smallest means the same
+    alone = brute_classes([(number[r[:2]], r[1]) for r in rows])
+    table = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = sorted((r.doc, r.class_id, r.n_links) for r in chosen_path.near_duplicates(table).collect())
+    want = sorted((r[0], texts[alone[number[r[:2]]][0]][0], alone[number[r[:2]]][1]) for r in rows)
+    assert got == want
+    kept = chosen_path.keep_one(table)
+    assert kept.columns == table.columns
+    left = [number[r.doc_id, r.text] for r in kept.collect()]
+    classes = [alone[n][0] for n in left]
+    assert len(classes) == len(set(classes)) and set(classes) == {c for c, _ in alone.values()}
+    assert [texts[n][0] for n in left] == [texts[c][0] for c in classes]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
