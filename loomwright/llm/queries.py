@@ -76,5 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_scan.oracle(),
         "op2_line_dedup": line_dedup.ORACLE,
         "op3_decontaminate": decontaminate.ORACLE,
-        "op6_quality_rules": quality_rules.ORACLE,
+        "op6_quality_rules": quality_rules.oracle(),
     }

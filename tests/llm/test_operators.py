@@ -78,12 +78,44 @@ def test_quality_rules(docs, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (len(w) < 50 or 100 * len(repeat) > 50 * len(w))
         assert not (r.kept and r.base_failed)
+    assert {i: r.kept for i, r in got.items()} == brute_verdicts(corpus())
     kept = quality_rules.apply_rules(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in rows if r.kept)
     assert quality_rules.apply_rules(empty).count() == 0 and quality_rules.quality_report(empty).count() == 0
 
 
+def brute_verdicts(rows: list[tuple]) -> dict[int, bool]:
+    """kept of each id of rows (id, text, lang, host, ...), from the rules' definition."""
+    measured = {}
+    for i, t, _, host, *_ in rows:
+        w = PLAIN.findall(t or "")
+        at = collections.defaultdict(list)
+        for p in range(len(w) - 2):
+            at[tuple(w[p : p + 3])].append(p)
+        repeat = len({q for ps in at.values() if len(ps) > 1 for p in ps for q in (p, p + 1, p + 2)})
+        lines = [x for x in (t or "").split("\n") if PLAIN.search(x)]
+        chars, symbols = sum(map(len, w)), sum(map((t or "").count, "#*$%&|<>"))
+        short, again = len(w) < 50, 100 * repeat > 50 * len(w)
+        fails = [short or again, short, again, 10 * symbols > len(w), 100 * (len(lines) - len(set(lines))) > 30 * len(lines), chars < 3 * len(w) or chars > 10 * len(w)]
+        measured.setdefault(host, []).append((i, fails))
+    rejected = set()
+    for rule in range(6):
+        n = {h: len(x) for h, x in measured.items()}
+        bad = {h: sum(f[rule] for _, f in x) for h, x in measured.items()}
+        total = sum(n.values())
+        m = sum(bad.values()) / total
+        rest = total - sum(x * x for x in n.values()) / total
+        spread = (sum(n[h] * (bad[h] / n[h] - m) ** 2 for h in n) - (len(n) - 1) * m * (1 - m)) / rest if rest else 0
+        k = max(1.0, min(1000.0, m * (1 - m) / spread - 1)) if spread > 1e-15 else 1000.0
+        for h in n:
+            p = (bad[h] + k * m) / (n[h] + k)
+            apart = p - 2 * math.sqrt(p * (1 - p) / (n[h] + k + 1)) > m + 2 * math.sqrt(m * (1 - m) / (k + 1))
+            if p >= 0.9 or (p >= 0.5 and apart):
+                rejected.add(h)
+    return {i: not f[0] and h not in rejected for h, x in measured.items() for i, f in x}
+
+
 def test_bad_host_goes_and_mixed_host_stays(spark):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(i, good if i % 20 == 0 else "short", "en", "bad", 1, "", 0) for i in range(400)]
@@ -92,6 +124,28 @@ def test_bad_host_goes_and_mixed_host_stays(spark):
     assert kept == {"mixed": 200}
 
 
+def test_hosts_apart_from_the_rest_go_by_any_rule(spark):
+    """A host goes whose documents pass the base rules but are mostly symbols, or repeated lines; others stay."""
+    rng = random.Random(9)
+    good = lambda: "\n".join(" ".join(f"word{rng.randrange(10**5)}" for _ in range(12)) for _ in range(6))
+    marks = lambda: good() + " " + " ".join(rng.choice("#*|<>$") + str(rng.randrange(10**6)) for _ in range(30))
+    doubled = lambda: good() + "\n" + "\n".join(["same"] * 8)
+    rows = []
+    for h in range(20):
+        for _ in range(40):
+            share = {3: marks, 5: doubled}.get(h)
+            text = share() if share and rng.random() < 0.8 else "short" if rng.random() < 0.06 else good()
+            rows.append((len(rows), text, "en", f"h{h}" if h != 7 else None, 0, "", 0))
+    table = spark.createDataFrame(rows, SCHEMA)
+    report = {r.doc_id: r for r in quality_rules.quality_report(table).collect()}
+    want = brute_verdicts(rows)
+    assert {i: r.kept for i, r in report.items()} == want
+    assert {r.source for r in report.values() if r.host_rules} == {"h3", "h5"}
+    assert {report[i].host_rules for i in report if report[i].source == "h3"} == {"symbols"}
+    left = quality_rules.apply_rules(table)
+    assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, k in want.items() if k)
+
+
 def test_line_dedup(docs, empty):
     clean = line_dedup.clean_pages(docs)
     assert clean.columns == docs.columns and clean.count() == len(corpus())
