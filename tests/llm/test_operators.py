@@ -390,6 +390,105 @@ def test_html_text_of_sibling_blocks():
     assert html_text.extract(f"<body><div class=title><h1>Title</h1></div><div class=text><p>{body}</p></div></body>").split("\n") == ["Title", body]
 
 
+LONG = "A sentence of the article, with a comma, that goes on for quite a while. " * 5
+
+
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ('<article style="overflow:hidden"><p>{0}</p></article>', ["{0}"]),
+        ('<article><p>{0}</p><svg class="i"/><p>{0}two</p><svg><text>x</text></svg><p>three.</p></article>', ["{0}", "{0}two", "three."]),
+        ("<article><p>{0}</p><button>Share<p>{0}two</p><p>three.</p></article>", ["{0}", "{0}two", "three."]),
+        ('<article><p data-id="comment-5">{0}</p><p>two.</p></article>', ["{0}", "two."]),
+        ('<article><p>{0}</p><div class="legal-notice-text">By law.</div></article>', ["{0}", "By law."]),
+        ("<article><p>{0}</p><p>If <math><mi>x</mi></math> is <object>three</object>.</p><noscript><p>A figure.</p></noscript></article>", ["{0}", "If x is three.", "A figure."]),
+        ("<div class=post><header><h1>Title</h1><p>By me</p></header><p>{0}</p></div>", ["Title", "By me", "{0}"]),
+        ("<div class=page><header><h1>Site</h1></header><div class=post><h1>Title</h1><p>{0}</p></div></div>", ["Title", "{0}"]),
+        ("<article><p>{0}<a name=top>here</p><p>{0}two</p></article>", ["{0}here", "{0}two"]),
+        ("<article><p>{0}</p><!-- never closed <p>{0}two</p></article>", ["{0}", "{0}two"]),
+        ("<article><p>{0}</p><script>var x = 1;<p>{0}two</p></article>", ["{0}", "{0}two"]),
+        ('<article><p title="a > b" class=x>{0}</p><div class="comment-list"><p>{0}no</p></div><div id=comments><p>{0}no</p></div></article>', ["{0}"]),
+        ("<article><p>{0}</p><select><option>no<option>no</select><textarea>no</textarea><button>no</button><p>two &lt;p&gt; &amp;</p></article>", ["{0}", "two <p> &"]),
+    ],
+)
+def test_html_text_of_broken_and_tricky_pages(inside, want):
+    page = f"<html><head><title>no</title></head><body><nav><a href=/>no</a></nav>{inside.replace('{0}', LONG)}<footer>no</footer></body></html>"
+    assert html_text.extract(page).split("\n") == [" ".join(x.replace("{0}", LONG).split()) for x in want]
+
+
+def test_html_text_is_decided_by_ratios(monkeypatch):
+    """Without article, main or telling names, short blocks beside the article go; without the ratios they would stay."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(rng.choice(["river", "stone,", "holds", "the", "old", "light.", "and", "again;"]) for _ in range(n)) + "."
+    for _ in range(30):
+        body = [prose(rng.randrange(40, 120)) for _ in range(rng.randrange(3, 9))]
+        body.insert(1, prose(4))  # a short paragraph of the article
+        side = [" ".join(rng.choice(["More", "Top", "Latest", "Shop"]) for _ in range(3)) for _ in range(6)]
+        column = "".join(f"<div class=k{rng.randrange(3)}>{x}</div>" for x in side)
+        main = f"<div class=c1><h2>Head</h2>{''.join(f'<p>{x}</p>' for x in body)}</div>"
+        page = f"<body>{f'<div class=c2>{column}</div>'}{main}<div class=c3>{column}</div></body>"
+        assert html_text.extract(page).split("\n") == ["Head", *body]
+        with monkeypatch.context() as m:
+            ratios = html_text.path_ratios
+            m.setattr(html_text, "path_ratios", lambda found: (lambda fused, limit, linked: (dict.fromkeys(fused, 1.0), 0.0, linked))(*ratios(found)))
+            assert html_text.extract(page).split("\n") != ["Head", *body]
+
+
+def test_html_blocks_equal_the_parser():
+    """On well-formed pages, the blocks' text is what the standard library's parser finds between block tags."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.off = [], [], 0
+
+        def cut(self):
+            if text := " ".join("".join(self.now).split()):
+                self.out.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "button")
+            if tag in html_text.BLOCK or tag == "br":
+                self.cut()
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "button")
+            if tag in html_text.BLOCK:
+                self.cut()
+
+        def handle_data(self, data):
+            if not self.off:
+                self.now.append(data)
+
+    rng = random.Random(22)
+
+    def node(depth: int) -> str:
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["plain words ", "a &lt; b &amp;c ", "x&nbsp;y ", "\n tab\t", "é日本 ", "<br>", "<!-- <p>no</p> -->", "<script>if (a<b) '</p>';</script>", "<style>p{}</style>", "<img src='a>b'>", "<button>no</button>"])
+        tag = rng.choice(["div", "section", "ul", "b", "em", "span", "table", "blockquote", "h2", "pre"])
+        inner = "".join(node(depth - 1) for _ in range(rng.randrange(1, 5)))
+        return f"<{tag}{rng.choice(['', ' class=a', ' title=&quot;x&quot;', chr(32) + 'data-x=' + chr(34) + '<p>' + chr(34)])}>{inner}</{tag}>"
+
+    for _ in range(300):
+        page = "<html><body>" + "".join(node(5) for _ in range(4)) + "</body></html>"
+        parser = Parser()
+        parser.feed(page)
+        parser.close()
+        parser.cut()
+        assert [b.text for b in html_text.blocks(page)] == parser.out, page
+
+
+def test_html_text_of_awkward_tables(spark):
+    page = f"<body><p>{LONG * 3000}</p></body>"
+    rows = [(1, None, page, "clash", 1), (1, None, page, "clash", 1), (None, "u", "<p>a", None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    out = html_text.extract_text(table).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in out) == [("1", len(LONG) * 3000 - 1)] * 2 + [("None", 1)]
+    assert html_text.extract_text(table.limit(0)).count() == 0
+
+
 def brute_classes(rows: list[tuple], similar: float = 0.8):
     groups = collections.defaultdict(list)
     for i, t, *_ in rows:
