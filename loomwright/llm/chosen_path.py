@@ -210,18 +210,19 @@ def buckets(keyed: DataFrame, first_run: int = 0) -> DataFrame:
     """rep, run, bucket, n, levels: where each set's path ends in each run, and how many sampled places a set must
     share to be there; the bucket is null if the path ends alone. Paths alone from the start (level 1) are left out."""
     flat = keyed.select(F.posexplode("keys").alias("at", "key"))
-    first = flat.where(F.col("at") % DEPTH == 0).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, as all sides that are joined to hot keys: a small one goes to every task, else Spark splits the hot rows
+    first = materialise(flat.where(F.col("at") % DEPTH == 0).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "first")
     each = F.transform(F.sequence(F.lit(0), (F.size("keys") / DEPTH).cast("int") - 1), lambda r: F.struct((r + first_run).alias("run"), F.slice("keys", r * DEPTH + 1, DEPTH).alias("path")))
     shared = keyed.select("rep", F.explode(each).alias("x")).select("rep", "x.*")
-    shared = materialise(shared.withColumn("key", F.get("path", F.lit(0))).join(first, "key", "left_semi").drop("key"), "paths")
+    shared = materialise(shared.withColumn("key", F.get("path", F.lit(0))).join(sized(first), "key", "left_semi").drop("key"), "paths")
     parent = F.when(F.col("depth") > 0, F.get("path", F.col("depth") - 1))
     nodes = shared.select("path", F.posexplode("path").alias("depth", "key")).select("depth", "key", parent.alias("parent"))
     counts = nodes.groupBy("depth", "key", "parent").agg(F.count("*").alias("n"))
     counts = materialise(counts.where("n > 1"), "nodes")
     inner = counts.where("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(F.sum(F.col("n") * F.col("n")).alias("agree"))
     is_end = (F.col("n") <= BUCKET) | (F.coalesce("agree", F.lit(0)) >= DENSE * F.col("n") * F.col("n")) | (F.col("depth") == DEPTH - 1)
-    marked = counts.join(inner, "key", "left").select("key", "n", is_end.alias("is_end"))
-    at = shared.select("rep", "run", F.posexplode("path").alias("depth", "key")).join(marked, "key")
+    marked = materialise(counts.join(inner, "key", "left").select("key", "n", is_end.alias("is_end")), "marked")
+    at = shared.select("rep", "run", F.posexplode("path").alias("depth", "key")).join(sized(marked), "key")
     top = at.groupBy("rep", "run").agg(F.min(F.when(F.col("is_end"), F.struct("depth", "key", "n"))).alias("x"), F.max("depth").alias("last"))
     return top.select("rep", "run", F.col("x.key").alias("bucket"), F.col("x.n").alias("n"), F.coalesce(F.col("x.depth") + 1, F.col("last") + 2).alias("levels"))
 
