@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from loomwright.functions.text import terms, token_estimate
 
 # Sizes and weights of extraction, and what is said when nothing answers.
 SHORTEST, LONGEST, RANK_WEIGHT, BALANCE, LEAST_RELEVANCE, MOST_SENTENCES = 30, 600, 0.25, 0.72, 0.25, 4
+# List and table marks, dashes and colons that make no sentence.
+NOISE = re.compile(r"^(?:[|#]|```|[-*] )|\|.*\|.*\|| - .* - |: -|:$")
 REFUSAL = "The sources do not contain an answer to this question."
 MARKER = re.compile(r"\[(\d+(?:\s*,\s*\d+)*)\]")
 LIST_ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s")
@@ -82,23 +85,21 @@ def spans(text: str) -> list[tuple[str, int, int, list[int]]]:
     return [(s, a, b, list(dict.fromkeys(int(n) for m in MARKER.findall(s) for n in re.split(r"\s*,\s*", m)))) for s, a, b, _ in out]
 
 
+def _is_prose(block: str) -> bool:
+    """Whether a block is no code and mostly no list."""
+    rows = [bool(LIST_ITEM.match(r)) for r in block.splitlines() if r.strip()]
+    return not block.startswith("```") and sum(rows) <= 0.4 * len(rows)
+
+
 def usable_sentences(text: str, heading: str = "") -> Iterator[str]:
     """Sentences that can stand in an answer: no lists, code, tables, fragments or introductions."""
-    if heading and text.startswith(heading):
-        text = text[len(heading) :].lstrip("\n ")
-    fenced = False
-    for block in filter(None, (b.strip() for b in re.split(r"\n\s*\n", text))):
-        rows = [r for r in block.splitlines() if r.strip()]
-        if sum(r.lstrip().startswith("```") for r in rows) % 2:
-            fenced = not fenced
-            continue
-        if fenced or block.startswith("```") or sum(bool(LIST_ITEM.match(r)) for r in rows) > 0.4 * len(rows):
-            continue
-        for s in sentences(block):
-            s = " ".join(s.split())
-            noise = s.startswith(("|", "```", "- ", "* ", "#")) or s.count("|") >= 3 or s.count(" - ") >= 2 or ": -" in s or s.endswith(":")
-            if SHORTEST <= len(s) <= LONGEST and not noise:
-                yield s
+    blocks = [b.strip() for b in re.split(r"\n\s*\n", text.removeprefix(heading).lstrip("\n ") if heading else text)]
+    marks = [sum(r.lstrip().startswith("```") for r in b.splitlines()) % 2 for b in blocks]
+    # after an odd number of fence marks what follows is code, and so is a block with an odd number of its own
+    prose = [b for b, own, so_far in zip(blocks, marks, accumulate(marks), strict=True) if b and not own and so_far % 2 == 0 and _is_prose(b)]
+    for s in (" ".join(s.split()) for b in prose for s in sentences(b)):
+        if SHORTEST <= len(s) <= LONGEST and not NOISE.search(s):
+            yield s
 
 
 def _jaccard(a: set, b: set) -> float:
