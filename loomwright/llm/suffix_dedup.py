@@ -13,11 +13,15 @@ are ruled out first, exactly:
    with a smaller id is covered at once; a task does this for its own batch before it sends, so a context that a
    third of all documents share is one entry per batch, not per document.
 3. What is left - different contexts of one anchor hash - goes with its bytes to a shard. There all suffixes of all
-   contexts are put in order by induced sorting with common prefixes (see suffix_sort: queues on disk, limited
-   memory); neighbours that agree in ``LENGTH`` bytes are one string, and the smallest document of each decides.
-   Contexts of an anchor with more than ``HOT`` different ones would all be in one shard; they are compared window
-   by window instead (by 128 bits of hash), with the smallest document of each window found by partial aggregation.
-4. The covered stretches of each document are joined and cut out of its text.
+   contexts are put in order by external induced sorting with common prefixes (see suffix_sort: queues, names and
+   lists on disk, recursion on names, limited memory); neighbours that agree in ``LENGTH`` bytes are one string, and
+   the smallest document of each decides.
+4. An anchor with more than about ``HOT`` different contexts is hot: a line on many pages. Hot anchors are found in a
+   sample of the documents (one in ``HOT_SAMPLE``; which are found changes only where work is done). Their entries are
+   spread over the shards by context, and their contexts are compared window by window instead of in one shard (by
+   128 bits of hash), with the smallest document of each window found by partial aggregation. So are the contexts of
+   an anchor that the sample missed, once a shard has counted more than ``HOT``.
+5. The covered stretches of each document are joined and cut out of its text.
 
 Texts are shuffled only for documents that have anything to check or to cut. Tables of ids are broadcast only
 up to ``BROADCAST_ROWS`` rows, beyond that the joins shuffle. Every step is a written table in the shared folder.
@@ -39,13 +43,14 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import wordhash
 from loomwright.llm.suffix_sort import suffix_array
-from loomwright.session import materialise
+from loomwright.session import Scratch, materialise, scratch
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 8 << 20
 BROADCAST_ROWS = 1_000_000
-#: Anchors with more different contexts than this are not sorted in one shard.
-HOT = 20_000
+#: Anchors with more different contexts than this are not sorted in one shard; at most so many are found beforehand,
+#: from one document in so many.
+HOT, MOST_HOT, HOT_SAMPLE = 20_000, 100_000, 64
 BATCH_BYTES = 8 << 20
 #: A context's bytes before and after its anchor.
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
@@ -82,7 +87,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return own, at - offsets[own], h[at], context
 
 
-def _send_anchors(shards: int):
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (text) to different (anchor, context) hashes."""
+    for batch in batches:
+        for _, data, offsets in wordhash.chunks(batch.column(0)):
+            _, _, h, context = anchors(data, offsets)
+            both = np.unique(np.rec.fromarrays([h, context], names="h,context"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[c]).view(np.int64)) for c in ("h", "context")], names=["anchor", "context"])
+
+
+def hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the anchors that have many contexts in a sample of rows (doc, text_key, text)."""
+    sample = rows.where(F.pmod(F.xxhash64("doc", "text_key"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    seen = sample.mapInArrow(_sampled, "anchor long, context long").distinct().groupBy("anchor").agg(F.count("*").alias("n"))
+    most = seen.where(F.col("n") > HOT / HOT_SAMPLE).orderBy(F.desc("n"), "anchor").limit(MOST_HOT)
+    return np.sort(np.array([r["anchor"] for r in most.collect()], np.int64).view(np.uint64))
+
+
+def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+
+
+def _send_anchors(shards: int, hot: np.ndarray):
     """Arrow batches of (doc, text_key, text) to packed entries: (shard, docs, keys, lengths, entries, covered)."""
 
     def pack(docs: np.ndarray, keys: np.ndarray, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +132,8 @@ def _send_anchors(shards: int):
         covered = docs[row] > least
         entry = np.zeros(len(h), ENTRY)
         entry["hash"], entry["context"], entry["pos"], entry["row"] = h, context, pos, row
-        shard = ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+        key = np.where(_is_hot(h, hot), wordhash.mix(h ^ context), h)
+        shard = ((key >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
         out = []
         order = np.argsort(shard, kind="stable")
         entry, shard, covered = entry[order], shard[order], covered[order]
@@ -157,8 +184,9 @@ def _entries(raw: bytes) -> np.ndarray:
 FOUND = "doc long, text_key long, start int, end int, anchor_hash long, hot boolean"
 
 
-def _match(table: pa.Table) -> pa.Table:
-    """One shard's anchors: covered contexts (anchor_hash 0), and contexts to be checked."""
+def _match(table: pa.Table, hot: np.ndarray = np.zeros(0, np.uint64)) -> pa.Table:
+    """One shard's anchors: covered contexts (anchor_hash 0), and contexts to be checked. Of a hot anchor a shard has
+    only some contexts, all rows of each."""
     docs, keys, lengths, entries, done = [], [], [], [], []
     for r in table.select(["docs", "keys", "lengths", "entries", "covered"]).to_pylist():
         d, k, n = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["lengths"], np.uint32)
@@ -181,13 +209,14 @@ def _match(table: pa.Table) -> pa.Table:
     covered = sure | (doc > least)
     contexts = np.bincount(group[new])  # different contexts of each hash
     first, last = np.minimum.reduceat(doc, np.flatnonzero(new_hash)), np.maximum.reduceat(doc, np.flatnonzero(new_hash))
-    check = new & (contexts[group] > 1) & (first < last)[group]
+    spread = _is_hot(h, hot)
+    check = new & (spread | ((contexts[group] > 1) & (first < last)[group]))
     keep = covered | check
     pos = e["pos"].astype(np.int64)
     start, end = np.maximum(pos - BEFORE, 0), np.minimum(pos + AFTER, length.astype(np.int64))
     group_hash = np.where(covered, np.uint64(0), h).view(np.int64)
     wordhash.trim()
-    return pa.table({"doc": doc[keep], "text_key": key[keep], "start": start[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep], "hot": (contexts > HOT)[group][keep]})
+    return pa.table({"doc": doc[keep], "text_key": key[keep], "start": start[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep], "hot": ((contexts > HOT)[group] | spread)[keep]})
 
 
 def _check(table: pa.Table) -> pa.Table:
@@ -242,7 +271,8 @@ def _by_windows(contexts: DataFrame) -> DataFrame:
     window = F.unhex(F.md5(F.substring(F.col("context"), F.col("at") + 1, F.lit(LENGTH))))
     windows = materialise(each.select("doc", "text_key", (F.col("start") + F.col("at")).alias("start"), window.alias("window")), "windows")
     least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    gone = windows.join(materialise(least, "least"), "window").where("doc > least")
+    least = materialise(least, "least")  # a written side: a small one goes to every task, else Spark splits hot windows
+    gone = windows.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "window").where("doc > least")
     return gone.select("doc", "text_key", "start", (F.col("start") + LENGTH).alias("end"))
 
 
@@ -253,17 +283,24 @@ def _ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc, text_key, text; copies: doc, text_key of rows with an earlier equal text; spans: doc,
-    text_key and the sorted list of (start, end) in bytes that go)."""
+    text_key and the sorted list of (start, end) in bytes that go). All other tables on the way are removed."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
+    with scratch(docs.sparkSession) as tables:
+        copies, spans = _spans(rows, tables)
+    return rows, copies, spans
+
+
+def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     keyed = materialise(rows.select("doc", "text_key", F.md5("text").alias("digest"), F.octet_length("text").alias("n_bytes")), "texts")
     total = keyed.agg(F.sum(F.col("n_bytes").cast("long"))).first()[0] or 0
     shards = max(8, -(-total // SHARD_BYTES))
     firsts = materialise(keyed.where("doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("least")), "firsts")
-    copies = materialise(keyed.join(firsts, "digest").where((F.col("doc") > F.col("least")) & (F.col("n_bytes") >= LENGTH)).select("doc", "text_key").distinct(), "copies")
+    copies = tables.keep(keyed.join(firsts, "digest").where((F.col("doc") > F.col("least")) & (F.col("n_bytes") >= LENGTH)).select("doc", "text_key").distinct(), "copies")
     rest = _ids(rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti").select("doc", "text_key", "text")
-    packed = rest.mapInArrow(_send_anchors(shards), "shard long, docs binary, keys binary, lengths binary, entries binary, covered binary")
-    found = materialise(packed.groupBy("shard").applyInArrow(_match, FOUND), "anchors", compact=False)
+    hot = hot_anchors(rest)
+    packed = rest.mapInArrow(_send_anchors(shards, hot), "shard long, docs binary, keys binary, lengths binary, entries binary, covered binary")
+    found = materialise(packed.groupBy("shard").applyInArrow(lambda table: _match(table, hot), FOUND), "anchors", compact=False)
     sure = found.where("anchor_hash = 0").select("doc", "text_key", "start", "end")
     open_ = found.where("anchor_hash <> 0")
     doubtful = materialise(open_.select("doc", "text_key").distinct(), "doubtful")
@@ -290,7 +327,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not open_.where("hot").isEmpty():
         checked = checked.unionByName(_by_windows(contexts(open_.where("hot"))))
     spans = sure.unionByName(checked).groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows, copies, materialise(spans, "spans", compact=False)
+    return copies, tables.keep(spans, "spans", compact=False)
 
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

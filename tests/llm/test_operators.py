@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, chosen_path, decontaminate, html_text, license_scan, line_dedup, lm_scores, quality_rules, suffix_dedup, token_counts
 from loomwright.llm.queries import tokenizer_file
-from loomwright.llm.suffix_sort import suffix_array
+from loomwright.llm.suffix_sort import sorted_suffixes, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, h long"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -217,16 +217,49 @@ def test_decontaminate_paths_agree_on_repeated_ids(spark):
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted(r for r in rows if r[:2] not in leaks)
 
 
+def checked_order(a: np.ndarray, depth: int, limit: int) -> None:
+    order, common = suffix_array(a, depth, limit=limit)
+    keys = [a.tobytes()[i : i + depth] for i in order]
+    assert sorted(order) == list(range(len(a))) and keys == sorted(keys)
+    for x, y, n in zip(keys, keys[1:], common[1:], strict=False):
+        assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
-    for _ in range(150):
-        a = rng.integers(1, rng.integers(2, 6), rng.integers(1, 100)).astype(np.uint8)
-        depth = int(rng.choice([3, 8, 9, 50]))
-        order, common = suffix_array(a, depth, limit=int(rng.choice([0, 100, 1 << 20])))
-        keys = [a.tobytes()[i : i + depth] for i in order]
-        assert sorted(order) == list(range(len(a))) and keys == sorted(keys)
-        for x, y, n in zip(keys, keys[1:], common[1:], strict=False):
-            assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
+    for i in range(200):
+        a = rng.integers(1, rng.integers(2, 6) if i % 2 else 200, rng.integers(1, 100 if i % 3 else 3000)).astype(np.uint8)
+        checked_order(a, int(rng.choice([3, 8, 9, 50])), int(rng.choice([0, 100, 1 << 30])))
+    for a in (np.ones(5000), np.tile([1, 2], 3000), np.tile([2, 1, 1], 2000), np.arange(5000) % 250 + 1):
+        checked_order(a.astype(np.uint8), 50, 0)
+
+
+def test_suffix_array_of_a_shard_larger_than_memory(tmp_path):
+    """The heap stays near the limit, which is below the size of the text; text, names and queues are on disk."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    words = [rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8) for _ in range(3000)]
+    passage = np.concatenate([np.append(words[k], 32) for k in rng.integers(0, 3000, 200)])
+    parts = [np.concatenate([passage, *[np.append(words[k], 32) for k in rng.integers(0, 3000, 2000)]]) for _ in range(50)]
+    text = np.concatenate(parts).astype(np.uint8)
+    text.tofile(tmp_path / "text")
+    limit = len(text) // 4
+    whole = list(sorted_suffixes(text, 50))
+    tracemalloc.start()
+    found = prefix = at = 0
+    last = b""
+    for pos, lcp in sorted_suffixes(np.memmap(tmp_path / "text", np.uint8, "r"), 50, limit):
+        found += len(pos)
+        prefix += int(lcp.astype(np.int64).sum())
+        now = text[pos[-1] : pos[-1] + 50].tobytes()
+        assert last <= now
+        last, at = now, at + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(text) and prefix == sum(int(b.astype(np.int64).sum()) for _, b in whole) and at > 20
+    # counts of symbols and Python's own objects come on top
+    assert peak < limit + (2 << 20), f"{peak} bytes of heap at a limit of {limit}, a text of {len(text)}"
 
 
 def test_suffix_dedup(docs, empty):
@@ -275,18 +308,24 @@ def test_suffix_dedup_splits_hot_anchors(spark, docs, monkeypatch):
     split = []
     whole = suffix_dedup._by_windows
     monkeypatch.setattr(suffix_dedup, "_by_windows", lambda contexts: split.append(contexts.count()) or whole(contexts))
-    monkeypatch.setattr(suffix_dedup, "_match", _with_hot(3))
+    with monkeypatch.context() as m:  # hot anchors that only a shard has counted
+        m.setattr(suffix_dedup, "_match", _with_hot(3))
+        assert rows() == want and split[0] > 100
+    split.clear()
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)  # found beforehand, and spread over the shards
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    assert len(suffix_dedup.hot_anchors(more.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_key"), "text"))) > 2
     assert rows() == want and split[0] > 100
 
 
-def _with_hot(hot: int):
+def _with_hot(bound: int):
     """_match with another bound, which the tasks' own modules get."""
 
-    def run(table):
+    def run(table, hot):
         from loomwright.llm import suffix_dedup as module
 
-        module.HOT = hot
-        return module._match(table)
+        module.HOT = bound
+        return module._match(table, hot)
 
     return run
 
