@@ -1,17 +1,23 @@
 """A corpus of chunks with its search, answers and statistics: the library's operators behind one object.
 
-Every method gives a lazy DataFrame and is batched over many queries; nothing is logged or written on a read.
+Every method gives a lazy DataFrame and is batched over many queries; nothing is logged. A corpus does not change:
+its text index and its hashed vectors are written when they are first needed and serve all later searches, and what
+adds or takes away chunks gives a corpus of the next version, which has none of them yet.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomwright.functions.text import token_estimate
+from loomwright.functions.text import content_hash, token_estimate
 from loomwright.operators import answer, fusion, rerank, search, store, telemetry, vectors, verify
+from loomwright.operators.index import TextIndex, build_index
+from loomwright.session import materialise
 
 
 @dataclass(frozen=True)
@@ -44,21 +50,46 @@ class Settings:
 class Corpus:
     """chunks: id, document_id, collection, ordinal, text, kind, heading_context, document_title, source_type."""
 
-    def __init__(self, chunks: DataFrame, settings: Settings | None = None, embeddings: DataFrame | None = None, events: DataFrame | None = None):
+    def __init__(self, chunks: DataFrame, settings: Settings | None = None, embeddings: DataFrame | None = None, events: DataFrame | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, version: int = 0):
         self.chunks, self.settings, self._embeddings, self.events = chunks, settings or Settings(), embeddings, events
+        self.reranker, self.version = reranker, version
+        self._index: dict[bool, TextIndex] = {}
+        self._hashed: dict[int, DataFrame] = {}
+
+    def index(self) -> TextIndex:
+        """The stored text index of all chunks."""
+        if self.settings.stemmed not in self._index:
+            self._index[self.settings.stemmed] = build_index(self.chunks, "id", search.WEIGHTS, self.settings.stemmed)
+        return self._index[self.settings.stemmed]
 
     def embeddings(self) -> DataFrame:
-        """id, embedding of all chunks: the given ones, else hashed."""
+        """id, embedding of all chunks: the given ones, else hashed and stored."""
         if self._embeddings is not None:
             return self._embeddings
-        return vectors.hash_embed(self.chunks.select("id", "text"), dim=self.settings.dim).select("id", "embedding")
+        if self.settings.dim not in self._hashed:
+            hashed, _ = embed_distinct(self.chunks, self.settings.dim)
+            self._hashed[self.settings.dim] = materialise(hashed, "vectors")
+        return self._hashed[self.settings.dim]
+
+    def with_settings(self, settings: Settings) -> Corpus:
+        """The same corpus, with what it has stored, under other settings."""
+        out = Corpus(self.chunks, settings, self._embeddings, self.events, self.reranker, self.version)
+        out._index, out._hashed = self._index, self._hashed
+        return out
+
+    def scoped(self, collection: str) -> Corpus:
+        """The chunks and events of one collection: all reads, statistics included, see nothing else."""
+        inside = F.col("collection") == collection
+        events = self.events.where(inside) if self.events is not None and "collection" in self.events.columns else self.events
+        kept = None if self._embeddings is None else self._embeddings.join(self.chunks.where(inside).select("id"), "id", "left_semi")
+        return Corpus(self.chunks.where(inside), self.settings, kept, events, self.reranker, self.version)
 
     def retrieve(self, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, id, score, rank of each of ``queries`` (query_id, query); filters (ids) act before the ranking."""
         s = self.settings
         lists = {}
         if s.strategy != "dense":
-            lists["lexical"] = search.bm25_search(self.chunks, queries, s.candidate_k, "id", allowed, fields=search.WEIGHTS, prefix_expansion=s.prefix_expansion, stemmed=s.stemmed)
+            lists["lexical"] = search.bm25_search(self.index(), queries, s.candidate_k, "id", allowed, prefix_expansion=s.prefix_expansion)
         if s.strategy != "lexical":
             rows = self.embeddings() if allowed is None else self.embeddings().join(allowed.select("id"), "id", "left_semi")
             lists["dense"] = vectors.cosine_top_k(rows, vectors.hash_embed(queries, "query", dim=s.dim).select("query_id", "embedding"), s.candidate_k)
@@ -66,7 +97,8 @@ class Corpus:
         hits = hits.select("query_id", "id", "score", "rank")
         if s.rerank:
             pool = hits.where(F.col("rank") <= s.rerank_top_n).join(self.chunks.select("id", "text", "heading_context", "document_title", "kind"), "id").join(queries.select("query_id", "query"), "query_id")
-            hits = rerank.rerank(pool, s.rerank_top_n).select("query_id", "id", F.col("rerank_score").alias("score"), "rank")
+            hits = rerank.rerank(pool, s.rerank_top_n) if self.reranker is None else rerank.rerank_by(pool, self.reranker, s.rerank_top_n)
+            hits = hits.select("query_id", "id", F.col("rerank_score").alias("score"), "rank")
         if s.mmr is not None:
             rows = hits.join(self.embeddings(), "id", "left").join(self.chunks.select("id", F.split(F.lower("text"), "[^a-z0-9]+").alias("tokens")), "id")
             picks = vectors.mmr(rows.select("query_id", "id", "score", "rank", F.col("embedding").cast("array<double>"), "tokens"), s.top_k, s.mmr)
@@ -78,6 +110,24 @@ class Corpus:
         """Hits with their chunks."""
         return self.retrieve(queries, allowed).join(self.chunks, "id")
 
+    def timed(self, queries: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+        """Hits, and the seconds that each stage of the search took for all queries, each stage written by itself."""
+        s, seconds = self.settings, {}
+
+        def stage(name: str, f: Callable[[], DataFrame]) -> DataFrame:
+            began = time.perf_counter()
+            out = materialise(f(), name)
+            seconds[name] = time.perf_counter() - began
+            return out
+
+        bare = lambda **changes: Settings(**(vars(s) | {"rerank": False, "mmr": None, "min_score": None, "top_k": s.candidate_k} | changes))
+        for name in ("lexical", "dense"):
+            if s.strategy in (name, "hybrid"):
+                stage(name, lambda n=name: self.with_settings(bare(strategy=n)).retrieve(queries))
+        hits = stage("search", lambda: self.retrieve(queries))
+        seconds["fusion_and_rerank"] = max(0.0, seconds["search"] - sum(v for k, v in seconds.items() if k != "search"))
+        return hits, seconds
+
     def similar(self, ids: DataFrame, k: int = 8) -> DataFrame:
         """Chunks like given ones (ids)."""
         rows = self.embeddings()
@@ -92,6 +142,21 @@ class Corpus:
         """query_id, answer, refused with citations."""
         return answer.extractive_answers(self._context(queries), queries)
 
+    def ask_in_parts(self, queries: DataFrame) -> Iterator[tuple[str, dict]]:
+        """Answers as they are read off the cluster, one query after the other: ("delta", query_id and a sentence) for
+        each sentence and then ("done", the whole answer and its citations); ("error", ...) ends a stream that fails."""
+        try:
+            context = materialise(self._context(queries), "context")
+            said = answer.extractive_answers(context, queries)
+            cited = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("marker", "id", "label"))).alias("sources"))
+            for r in said.join(cited, "query_id", "left").orderBy("query_id").toLocalIterator():
+                for s, *_ in answer.spans(r["answer"]):
+                    yield "delta", {"query_id": r["query_id"], "text": s}
+                used = {m for *_, ms in answer.spans(r["answer"]) for m in ms}
+                yield "done", {"query_id": r["query_id"], "answer": r["answer"], "refused": r["refused"], "citations": [x.asDict() for x in r["sources"] or [] if x["marker"] in used]}
+        except Exception as e:  # the terminal event of a stream says what went wrong
+            yield "error", {"message": str(e)}
+
     def verify(self, claims: DataFrame, queries: DataFrame) -> DataFrame:
         """Verdicts on sentences (query_id, idx, text, markers, refused) by the chunks that the queries find."""
         return verify.verify(claims, self._context(queries))
@@ -116,12 +181,37 @@ class Corpus:
         """The corpus without some documents, their chunks and vectors."""
         chunks = self.chunks.join(document_ids.select("document_id"), "document_id", "left_anti")
         kept = None if self._embeddings is None else self._embeddings.join(chunks.select("id"), "id", "left_semi")
-        return Corpus(chunks, self.settings, kept, self.events)
+        return Corpus(chunks, self.settings, kept, self.events, self.reranker, self.version + 1)
+
+    def added(self, chunks: DataFrame) -> Corpus:
+        """The corpus with more chunks; given vectors stay, and those of new chunks are to be added to them."""
+        return Corpus(self.chunks.unionByName(chunks), self.settings, self._embeddings, self.events, self.reranker, self.version + 1)
 
     def heatmap(self) -> DataFrame:
         return telemetry.heatmap(self.events, self.chunks.select(F.col("id").alias("chunk_id")))
 
 
+def embed_distinct(chunks: DataFrame, dim: int) -> tuple[DataFrame, Observation]:
+    """(id, embedding of every chunk; an observation of hits and misses): each text is embedded once."""
+    rows = chunks.select("id", "text", content_hash(F.col("text")).alias("hash"))
+    once = vectors.hash_embed(rows.groupBy("hash").agg(F.first("text").alias("text"), F.count("*").alias("n")), dim=dim)
+    seen = Observation("embedding cache")
+    once = once.observe(seen, F.count("*").alias("misses"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("hits"))
+    return rows.join(once.select("hash", "embedding"), "hash", "left").select("id", "embedding"), seen
+
+
+def merged_reports(reports: DataFrame) -> DataFrame:
+    """One row of several ingestions' reports (n_documents, n_chunks, n_skipped, errors): sums, and all errors."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_documents", "n_chunks", "n_skipped")]
+    return reports.agg(*sums, F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors"))
+
+
+def ingestion_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """n_documents and n_chunks that came in, n_skipped (blank, repeated or known documents), no errors."""
+    made = chunks.agg(F.countDistinct("document_id").alias("n_documents"), F.count("*").alias("n_chunks"))
+    return made.crossJoin(F.broadcast(documents.agg(F.count("*").alias("given")))).select("n_documents", "n_chunks", (F.col("given") - F.col("n_documents")).alias("n_skipped"), F.array().cast("array<string>").alias("errors"))
+
+
 def ingest(documents: DataFrame, chunker: str = "recursive", collection: str = "default", known: DataFrame | None = None, **options) -> DataFrame:
     """Chunks of documents (uri, title, text, source_type), with ids from contents, so that a retry makes the same
     rows. Blank texts, repeated (uri, text) pairs and pairs that ``known`` (content_hash) has are left out."""

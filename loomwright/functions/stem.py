@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -82,17 +83,18 @@ def stem(word: str) -> str:
     return word
 
 
+RUNS, BEYOND_ASCII = re.compile(r"[^\W_]+"), re.compile(r"[^\x00-\x7f]+")
+
+
+@lru_cache(maxsize=100_000)
+def _plain(run: str) -> str:
+    """Characters beyond ASCII in their compatible forms, without the marks that combine with others."""
+    return "".join(x for x in unicodedata.normalize("NFKD", run) if not unicodedata.combining(x))
+
+
 def index_tokens(text: str | None, stemmed: bool = True) -> list[str]:
     """Runs of letters and digits, lower case, without accents; stems of the ASCII ones."""
-    out, run = [], []
-    for x in unicodedata.normalize("NFKD", (text or "").lower()):
-        if unicodedata.combining(x):
-            continue
-        if x.isalnum():
-            run.append(x)
-        elif run:
-            out.append("".join(run))
-            run = []
-    if run:
-        out.append("".join(run))
-    return [stem(t) if stemmed and t.isascii() else t for t in out]
+    low = (text or "").lower()
+    if not low.isascii():
+        low = BEYOND_ASCII.sub(lambda m: _plain(m[0]), low)
+    return [stem(t) if stemmed and t.isascii() else t for t in RUNS.findall(low)]

@@ -85,23 +85,33 @@ def nearest_rank(values: DataFrame, by: str, value: str, share: float = 0.95) ->
 
 
 def resolve(golden: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """query_id, id, grade from expectations (query_id, kind, value, grade): chunk ids, titles without regard to
-    case, and texts that a chunk must contain. The highest grade counts. Contained texts are looked up by a word
-    inside them as an equi-join, then checked; those without one (one or two words, other scripts) are checked
+    """query_id, id, grade of the chunks that meet an expectation; the highest grade counts."""
+    return resolve_each(golden, chunks, id_col).groupBy("query_id", "id").agg(F.max("grade").alias("grade"))
+
+
+def resolve_each(golden: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """query_id, kind, value, grade, id of each expectation (query_id, kind, value, grade) and chunk that meets it: chunk
+    and document ids, titles without regard to case, and texts that a chunk must contain. Contained texts are looked up
+    by a word inside them as an equi-join, then checked; those without one (one or two words, other scripts) are checked
     against all chunks. Empty texts are contained in none."""
-    rows = chunks.select(F.col(id_col).alias("id"), "title", match_form(F.col("text")).alias("body"))
-    ids = golden.where("kind = 'chunk'").select("query_id", F.col("value").cast("long").alias("id"), "grade").join(rows.select("id"), "id")
-    titles = golden.where("kind = 'title'").select("query_id", F.lower("value").alias("t"), "grade").join(rows.select("id", F.lower("title").alias("t")), "t").select("query_id", "id", "grade")
-    asked = golden.where("kind = 'text'").select("query_id", match_form(F.col("value")).alias("needle"), "grade").where("needle <> ''")
+    own = ["query_id", "kind", "value", "grade"]
+    rows = chunks.select(F.col(id_col).alias("id"), "title", match_form(F.col("text")).alias("body"), *[c for c in ("document",) if c in chunks.columns])
+    keyed = [("chunk", F.col("value"), F.col("id").cast("string")), ("title", F.lower(F.trim("value")), F.lower(F.trim("title")))]
+    if "document" in rows.columns:
+        keyed.append(("document", F.col("value"), F.col("document")))
+    met = None
+    for kind, wanted, there in keyed:
+        part = golden.where(F.col("kind") == kind).select(*own, wanted.alias("key")).join(rows.select("id", there.alias("key")), "key").select(*own, "id")
+        met = part if met is None else met.unionByName(part)
+    asked = golden.where("kind = 'text'").select(*own, match_form(F.col("value")).alias("needle")).where("needle <> ''")
     # only a token with something on both of its sides is a whole token wherever the text is found; the longest is the rarest
     inner = F.regexp_extract_all("needle", F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), F.lit(0))
     asked = materialise(asked.withColumn("w", F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]), "asked")
     words = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
     from loomwright.operators.search import sized
 
-    likely = words.join(sized(asked.where("w IS NOT NULL")), "w").select("query_id", "id", "needle", "grade")
-    held = likely.join(rows.select("id", "body"), "id").where(F.contains("body", "needle")).select("query_id", "id", "grade")
+    likely = words.join(sized(asked.where("w IS NOT NULL")), "w").select(*own, "needle", "id")
+    held = likely.join(rows.select("id", "body"), "id").where(F.contains("body", "needle")).select(*own, "id")
     other = asked.where("w IS NULL")
     found = rows.join(sized(other.select("needle").distinct()), F.contains("body", "needle")).select("id", "needle")
-    held = held.unionByName(found.join(sized(other.drop("w")), "needle").select("query_id", "id", "grade"))
-    return ids.select("query_id", "id", "grade").unionByName(titles).unionByName(held).groupBy("query_id", "id").agg(F.max("grade").alias("grade"))
+    return met.unionByName(held).unionByName(found.join(sized(other.drop("w")), "needle").select(*own, "id"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,9 @@ from loomwright.session import spread
 BLOCK_VALUES = 4_000_000
 # Weights of the three kinds of features.
 WORD_WEIGHT, PAIR_WEIGHT, GRAM_WEIGHT = 1.0, 0.7, 0.35
+TOKEN = re.compile(r"[a-z0-9_]+")
+#: Features whose hashes a worker remembers, in each of two generations.
+HELD = 300_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,22 +41,46 @@ def l2_normalize(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+class _Places:
+    """Features' hashes, remembered for two generations of ``HELD`` features, of which those used again live on."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+
+    def of(self, features: list[str]) -> list[int]:
+        now, older = self.now, self.older
+        if len(now) > HELD:
+            self.now, self.older = now, older = {}, now
+        out = []
+        for f in features:
+            value = now.get(f)
+            if value is None:
+                value = older.get(f)
+                if value is None:
+                    value = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
+                now[f] = value
+            out.append(value)
+        return out
+
+
+_PLACES = _Places()
+
+
 def hash_vector(text: str | None, dim: int) -> np.ndarray:
     """Signed feature hashing of words, word pairs and character 4-grams, with 1 + ln(count), to unit length."""
     low = (text or "").lower()
-    tokens = re.findall(r"[a-z0-9_]+", low)
+    tokens = TOKEN.findall(low)
     clean = " ".join(low.split())
     kinds = (
-        (WORD_WEIGHT, "w:", tokens),
-        (PAIR_WEIGHT, "b:", [f"{a}_{b}" for a, b in zip(tokens, tokens[1:], strict=False)]),
-        (GRAM_WEIGHT, "c:", [clean[i : i + 4] for i in range(len(clean) - 3)]),
+        (WORD_WEIGHT, Counter([f"w:{t}" for t in tokens])),
+        (PAIR_WEIGHT, Counter([f"b:{a}_{b}" for a, b in pairwise(tokens)])),
+        (GRAM_WEIGHT, Counter([f"c:{clean[i : i + 4]}" for i in range(len(clean) - 3)])),
     )
-    out = np.zeros(dim, np.float32)
-    for weight, prefix, features in kinds:
-        for feature, count in Counter(features).items():
-            value = int.from_bytes(hashlib.blake2b((prefix + feature).encode(), digest_size=8).digest(), "little")
-            sign = 1.0 if value >> 63 else -1.0
-            out[value % dim] += sign * weight * (1.0 + math.log(count))
+    value = np.array([v for _, c in kinds for v in _PLACES.of(list(c))], np.uint64)
+    weight = np.concatenate([w * (1.0 + np.log(np.fromiter(c.values(), float, len(c)))) for w, c in kinds])
+    sign = np.where(value >> np.uint64(63), 1.0, -1.0)
+    out = np.bincount((value % np.uint64(dim)).astype(np.int64), weights=sign * weight, minlength=dim).astype(np.float32)
     length = float(np.linalg.norm(out))
     return out / length if length > 1e-12 else out
 
@@ -88,9 +116,9 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_se
                 if not batch.num_rows:
                     continue
                 names = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
-                if rows.ndim != 2 or rows.shape[1] != matrix.shape[1]:
+                if pc.any(pc.not_equal(pc.list_value_length(batch.column(1)), matrix.shape[1])).as_py():
                     raise ValueError("vectors of different dimensions")
+                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 size = np.linalg.norm(rows, axis=1)
                 score = np.round((matrix @ (rows / np.where(size > 0, size, 1)[:, None]).T), digits + 3)
                 if exclude_self:

@@ -108,10 +108,13 @@ def merge_collections(spark: SparkSession, d: str) -> DataFrame:
 # answers -----------------------------------------------------------------------------------------------------
 
 
-@query("pack_context", f"""{sql.bm25(30).replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT query_id, doc_id, rank, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS cost FROM top JOIN documents USING (doc_id)),
+PACK = f"""{sql.bm25(30).replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT query_id, doc_id, rank, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS cost FROM top JOIN documents USING (doc_id)),
 walk AS (SELECT query_id, rank, doc_id, cost AS used, 1 AS marker, cost, true AS taken FROM c WHERE rank = 1
  UNION ALL SELECT w.query_id, c.rank, c.doc_id, CASE WHEN w.used < 1500 AND w.used + c.cost <= 1500 THEN w.used + c.cost ELSE w.used END, CASE WHEN w.used < 1500 AND w.used + c.cost <= 1500 THEN w.marker + 1 ELSE w.marker END, c.cost, w.used < 1500 AND w.used + c.cost <= 1500 FROM walk w JOIN c ON c.query_id = w.query_id AND c.rank = w.rank + 1)
-SELECT query_id, doc_id AS id, marker::INT AS marker, cost::BIGINT AS tokens FROM walk WHERE taken""")
+"""
+
+
+@query("pack_context", PACK + "SELECT query_id, doc_id AS id, marker::INT AS marker, cost::BIGINT AS tokens FROM walk WHERE taken")
 def pack_context(spark: SparkSession, d: str) -> DataFrame:
     return answer.pack(pool(spark, d), 1500)
 
@@ -121,7 +124,8 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
     return answer.pack(rows, 1500).join(rows.select("query_id", "id", "text", "heading_context", F.col("document_title").alias("label")), ["query_id", "id"])
 
 
-@query("build_prompt")
+@query("build_prompt", PACK + """SELECT query_id, 'Sources:' || repeat(chr(10), 2) || string_agg('[' || marker || '] ' || source || chr(10) || d.text, repeat(chr(10), 2) ORDER BY marker)
+ || repeat(chr(10), 2) || '---' || repeat(chr(10), 2) || 'Question: ' || any_value(b.text) AS prompt FROM walk JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id WHERE taken GROUP BY query_id""")
 def build_prompt(spark: SparkSession, d: str) -> DataFrame:
     return answer.prompt(packed(spark, d), items(spark, d))
 
@@ -180,9 +184,50 @@ def number_agreement(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (last == price.cast("string")).alias("same_text"), (F.abs(X.normal_number(last) - F.col("o_totalprice").cast("double")) < 0.005).alias("same_value"))
 
 
-@query("refusals", "SELECT lang, count(*)::BIGINT AS n FROM documents WHERE contains(lower(text), 'no information') OR contains(lower(text), 'cannot answer') OR contains(lower(text), 'do not contain') OR contains(lower(text), 'does not contain') OR contains(lower(text), 'not mentioned in the sources') OR contains(lower(text), 'can''t answer') OR contains(lower(text), 'the sources do not') OR contains(lower(text), 'not covered by the sources') OR contains(lower(text), 'i don''t have enough information') OR contains(lower(text), 'i do not have enough information') GROUP BY lang")
+PHRASES = ", ".join("'" + p.replace("'", "''").upper() + "'" for p in X.REFUSALS)
+DECLINES = " OR ".join("contains(low, '" + p.replace("'", "''") + "')" for p in X.REFUSALS)
+
+
+@query("refusals", f"""WITH t AS (SELECT lang, lower(text || ' ' || coalesce([{PHRASES}][doc_id % 25 + 1], '')) AS low FROM documents) SELECT lang, count(*)::BIGINT AS n FROM t WHERE {DECLINES} GROUP BY lang""")
 def refusals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(X.looks_like_refusal(F.col("text"))).groupBy("lang").agg(F.count("*").alias("n"))
+    """Texts of which ten in 25 end with a phrase that declines."""
+    phrase = F.try_element_at(X.lit_array([p.upper() for p in X.REFUSALS]), (F.col("doc_id") % 25 + 1).cast("int"))
+    said = table(spark, d, "documents").select("lang", F.concat("text", F.lit(" "), F.coalesce(phrase, F.lit(""))).alias("text"))
+    return said.where(X.looks_like_refusal(F.col("text"))).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+# events as verdicts: the user is the question, the kind of event the verdict
+VERDICTS = {"view": "supported", "click": "unsupported", "purchase": "partial", "signup": "not_a_claim"}
+VERDICT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VERDICTS.items()) + " ELSE 'uncited' END"
+
+
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("idx"), F.expr(VERDICT).alias("verdict"))
+
+
+@query("faithfulness_of_verdicts", f"""WITH v AS (SELECT user_id AS query_id, {VERDICT} AS verdict FROM events), c AS (SELECT query_id, count(*) FILTER (WHERE verdict <> 'not_a_claim') AS n, count(*) FILTER (WHERE verdict = 'supported') AS good FROM v GROUP BY query_id)
+SELECT query_id, n::BIGINT AS n_claims, good::BIGINT AS n_supported, round(good::DOUBLE / nullif(n, 0), 4) AS faithfulness FROM c""")
+def faithfulness_of_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return verify.faithfulness(verdicts(spark, d))
+
+
+@query("answer_flags", f"""WITH v AS (SELECT user_id AS query_id, event_id AS idx, {VERDICT} AS verdict FROM events)
+SELECT query_id, coalesce(string_agg(idx, ',' ORDER BY idx) FILTER (WHERE verdict = 'unsupported'), '') AS unsupported, coalesce(string_agg(idx, ',' ORDER BY idx) FILTER (WHERE verdict IN ('unsupported', 'uncited', 'partial')), '') AS flagged FROM v GROUP BY query_id""")
+def answer_flags(spark: SparkSession, d: str) -> DataFrame:
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return verify.answer_flags(verdicts(spark, d)).select("query_id", joined("unsupported_sentences").alias("unsupported"), joined("flagged_sentences").alias("flagged"))
+
+
+@query("reply_order", r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\d+'), lambda x: try_cast(x AS INTEGER) - 1), lambda v: v >= 0 AND v < 9) AS said FROM documents),
+p AS (SELECT doc_id, v, min(i) AS i FROM (SELECT doc_id, unnest(said) AS v, generate_subscripts(said, 1) AS i FROM t) GROUP BY doc_id, v),
+a AS (SELECT doc_id, v, coalesce(p.i, 1000000 + v) AS i FROM documents CROSS JOIN range(9) r(v) LEFT JOIN p USING (doc_id, v))
+SELECT doc_id, string_agg(v, ',' ORDER BY i) AS ranking FROM a GROUP BY doc_id""")
+def reply_order(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as ranking replies over nine candidates."""
+    from loomwright.operators import rerank
+
+    order = rerank.reply_order(F.col("text"), F.lit(9))
+    return table(spark, d, "documents").select("doc_id", F.array_join(order.cast("array<string>"), ",").alias("ranking"))
 
 
 # evaluation --------------------------------------------------------------------------------------------------
@@ -202,18 +247,21 @@ def judged_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ranked.select("query_id", "id", "rank"), qrels
 
 
-def _metrics_sql() -> str:
+def _metrics_sql(ranked: str = RANKED, label: str = "") -> str:
+    """``m``: the metrics of the lists ``ranked``, per query or per label and query."""
+    by = f"{label}query_id"
+    ideal = f"(SELECT * FROM (SELECT DISTINCT {label.rstrip(', ')} FROM ranked), i)" if label else "i"
     parts, ideals, out = [], [], []
     for k in evaluate.CUTOFFS:
         parts.append(f"sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END) AS h{k}, sum(CASE WHEN rank <= {k} THEN (pow(2.0, grade) - 1)/log2(rank + 1.0) ELSE 0 END) AS dcg{k}")
         ideals.append(f"sum(CASE WHEN r <= {k} THEN (pow(2.0, grade) - 1)/log2(r + 1.0) ELSE 0 END) AS ideal{k}")
         out.append(f"CASE WHEN ok THEN round(h{k}::DOUBLE / least(relevant, {k}), 6) END AS recall_{k}, CASE WHEN ok THEN round(h{k}::DOUBLE / {k}, 6) END AS precision_{k}, CASE WHEN ok THEN (h{k} > 0)::INT::DOUBLE END AS hit_rate_{k}, CASE WHEN ok THEN round(dcg{k} / ideal{k}, 6) END AS ndcg_{k}")
-    return f"""WITH {QRELS}, {RANKED}, j AS (SELECT r.*, coalesce(grade, 0) AS grade, (coalesce(grade, 0) >= 1)::INT AS hit FROM ranked r LEFT JOIN qrels q USING (query_id, id)),
-f AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS found FROM j),
-p AS (SELECT query_id, count(*) AS listed, min(CASE WHEN hit = 1 THEN rank END) AS first, sum(CASE WHEN hit = 1 THEN found::DOUBLE / rank END) AS ap, {", ".join(parts)} FROM f GROUP BY query_id),
+    return f"""WITH {QRELS}, {ranked}, j AS (SELECT r.*, coalesce(grade, 0) AS grade, (coalesce(grade, 0) >= 1)::INT AS hit FROM ranked r LEFT JOIN qrels q USING (query_id, id)),
+f AS (SELECT *, sum(hit) OVER (PARTITION BY {by} ORDER BY rank) AS found FROM j),
+p AS (SELECT {by}, count(*) AS listed, min(CASE WHEN hit = 1 THEN rank END) AS first, sum(CASE WHEN hit = 1 THEN found::DOUBLE / rank END) AS ap, {", ".join(parts)} FROM f GROUP BY {by}),
 i AS (SELECT query_id, sum((grade >= 1)::INT) AS relevant, {", ".join(ideals)} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS r FROM qrels WHERE grade > 0) GROUP BY query_id),
-b AS (SELECT *, coalesce(relevant, 0) > 0 AS ok FROM p FULL JOIN i USING (query_id)),
-m AS (SELECT query_id, NOT ok AS excluded, first::INT AS first_relevant_rank, {", ".join(out)}, CASE WHEN ok THEN round(coalesce(1.0/first, 0), 6) END AS mrr, CASE WHEN ok THEN round(coalesce(ap / nullif(least(relevant, listed), 0), 0), 6) END AS map FROM b)"""
+b AS (SELECT *, coalesce(relevant, 0) > 0 AS ok FROM p FULL JOIN {ideal} USING ({by})),
+m AS (SELECT {by}, NOT ok AS excluded, first::INT AS first_relevant_rank, {", ".join(out)}, CASE WHEN ok THEN round(coalesce(1.0/first, 0), 6) END AS mrr, CASE WHEN ok THEN round(coalesce(ap / nullif(least(relevant, listed), 0), 0), 6) END AS map FROM b)"""
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -235,19 +283,28 @@ def metric_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.summary(evaluate.long_form(rounded(evaluate.metrics(*judged_lists(spark, d))), "long"))
 
 
-@query("sweep_delta")
+def _sweep_sql() -> str:
+    from loomwright.plans.retrieval_queries import fused_clauses
+
+    lists = " UNION ALL ".join(f"SELECT '{x}' AS label, query_id, {i} AS id, rank FROM {t}" for x, i, t in (("lexical", "doc_id", "top"), ("dense", "doc_id", "den"), ("rrf", "id", "rrf"), ("weighted", "id", "weighted")))
+    found = fused_clauses({"rrf": "coalesce(0.65/(60+lr), 0) + coalesce(0.35/(60+dr), 0)", "weighted": "0.65*coalesce(ls, 0) + 0.35*coalesce(ds, 0)"}).strip().removeprefix("WITH")
+    values = f"SELECT label, metric, round(avg(value), 4) AS mean FROM (UNPIVOT (SELECT label, query_id, {', '.join(NAMES)} FROM m) ON {', '.join(NAMES)} INTO NAME metric VALUE value) WHERE value IS NOT NULL GROUP BY label, metric"
+    return _metrics_sql(f"{found}, ranked AS ({lists})", "label, ") + f", s AS ({values}) SELECT s.label, metric, s.mean, round(s.mean - z.mean, 4) AS delta FROM s JOIN (SELECT metric, mean FROM s WHERE label = 'lexical') z USING (metric)"
+
+
+@query("sweep_delta", _sweep_sql())
 def sweep_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical, dense and fused search of the benchmark's own documents against the lexical one."""
+    """Lexical, dense and fused lists against the lexical one, judged by labels."""
     from loomwright.operators import fusion
-    from loomwright.plans.retrieval_queries import hashed_lists
+    from loomwright.plans.retrieval_queries import two_lists
 
-    lexical, dense = (materialise(x, "list") for x in hashed_lists(spark, d))
-    qrels = materialise(expected(spark, d), "qrels")
+    lexical, dense = (materialise(x, "list") for x in two_lists(spark, d))
+    qrels = materialise(judged_lists(spark, d)[1], "qrels")
     values = None
     for label, ranked in (("lexical", lexical), ("dense", dense), ("rrf", fusion.fuse(lexical, dense)), ("weighted", fusion.fuse(lexical, dense, "weighted"))):
-        part = evaluate.long_form(evaluate.metrics(ranked.select("query_id", "id", "rank"), qrels), label)
+        part = evaluate.long_form(rounded(evaluate.metrics(ranked.select("query_id", "id", "rank"), qrels)), label)
         values = part if values is None else values.unionByName(part)
-    return evaluate.deltas(evaluate.summary(values), "lexical")
+    return evaluate.deltas(evaluate.summary(values).select("label", "metric", "mean"), "lexical")
 
 
 @query("rank_histogram", _metrics_sql() + " SELECT least(coalesce(first_relevant_rank, 11), 11)::INT AS rank, count(*)::BIGINT AS n FROM m WHERE NOT excluded GROUP BY 1")
@@ -284,6 +341,19 @@ def qrels_resolve(spark: SparkSession, d: str) -> DataFrame:
     return expected(spark, d)
 
 
+FIRST_WORDS = f"array_to_string(list_filter(string_split({sql.squeeze('text')}, ' '), lambda w: w <> '')[1 : 1 + item_id % 2], ' ')"
+
+
+@query("qrels_short", f"""WITH n AS (SELECT item_id AS query_id, lower({FIRST_WORDS}) AS needle FROM benchmark)
+SELECT query_id, doc_id AS id, 2 AS grade FROM n JOIN (SELECT doc_id, {MATCH} AS body FROM documents) ON needle <> '' AND contains(body, needle)""")
+def qrels_short(spark: SparkSession, d: str) -> DataFrame:
+    """Expectations of one and of two words, wherever they are contained."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("title"))
+    first = F.slice(F.filter(F.split(X.squeeze(F.col("text")), " "), lambda w: w != ""), F.lit(1), (F.col("item_id") % 2 + 1).cast("int"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("text").alias("kind"), F.array_join(first, " ").alias("value"), F.lit(2).alias("grade"))
+    return evaluate.resolve(asked, docs)
+
+
 @query("golden_generate")
 def golden_generate(spark: SparkSession, d: str) -> DataFrame:
     from loomwright.sources.golden import generate

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as X
-from loomwright.operators import fusion, rerank, search, vectors
+from loomwright.operators import fusion, index, rerank, search, vectors
 from loomwright.plans import sql
 from loomwright.plans.catalogue import query
-from loomwright.session import materialise, table
+from loomwright.session import materialise, stored, table
 
 TOKENS = "regexp_extract_all(lower(coalesce(text,'')), '[a-z0-9]+')"
 
@@ -19,6 +19,16 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def documents_index(spark: SparkSession, d: str, **options) -> index.TextIndex:
+    """The stored index of the documents; the other queries read the table itself."""
+    return index.documents_index(table(spark, d, "documents"), d, **options)
+
+
+def documents_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The stored hashed vectors of the documents."""
+    return stored(spark, f"hash-vectors:{d}", lambda: materialise(vectors.hash_embed(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "embedding"), "vectors"))
+
+
 @query("postings", f"SELECT term, doc_id AS id, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL")
 def postings(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(table(spark, d, "documents")).select("term", "id", "n")
@@ -52,7 +62,7 @@ def idf_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_topk", sql.bm25() + "SELECT query_id, doc_id AS id, score, rank::INT AS rank FROM top")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25_search(table(spark, d, "documents"), items(spark, d), 10)
+    return search.bm25_search(documents_index(spark, d), items(spark, d), 10)
 
 
 @query("bm25_filtered", sql.bm25(where="WHERE lang = 'en' AND source <> 'src0'") + "SELECT query_id, doc_id AS id, score, rank::INT AS rank FROM top")
@@ -81,7 +91,7 @@ s AS (SELECT query_id, doc_id, round(sum(idf*f*2.2/(f+1.2*(0.25+0.75*(len(a)+len
 SELECT query_id::BIGINT AS query_id, doc_id AS id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def bm25_column_weighted(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([(1, "en src1"), (2, '"the" fr'), (3, "src2 de")], "query_id long, query string")
-    return search.bm25_search(table(spark, d, "documents"), asked, 10, fields=FIELDS)
+    return search.bm25_search(documents_index(spark, d, fields=FIELDS), asked, 10)
 
 
 @query("bm25_prefix", f"""WITH q AS (SELECT * FROM (VALUES (1,'tion'),(2,'edthe'),(3,'queel')) v(query_id, p)),
@@ -94,7 +104,7 @@ s AS (SELECT query_id, doc_id, round(sum(idf*f*2.2/(f+1.2*(0.25+0.75*len(w)/avg_
 SELECT query_id::BIGINT AS query_id, doc_id AS id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([(1, "tion"), (2, "edthe"), (3, "queel")], "query_id long, query string")
-    return search.bm25_search(table(spark, d, "documents"), asked, 10, prefix_expansion=True)
+    return search.bm25_search(documents_index(spark, d), asked, 10, prefix_expansion=True)
 
 
 @query("bm25_phrase", f"""WITH toks AS (SELECT doc_id, {TOKENS} AS w FROM documents), stats AS (SELECT count(*) AS n, sum(len(w))::DOUBLE/count(*) AS avg_len FROM toks),
@@ -106,13 +116,13 @@ s AS (SELECT query_id, doc_id, round(idf*f*2.2/(f+1.2*(0.25+0.75*len(w)/avg_len)
 SELECT query_id::BIGINT AS query_id, doc_id AS id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([(1, '"of the"'), (2, '"in the and"'), (3, '"de la"')], "query_id long, query string")
-    return search.bm25_search(table(spark, d, "documents"), asked, 10)
+    return search.bm25_search(documents_index(spark, d), asked, 10)
 
 
 @query("bm25_porter")
 def bm25_porter(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed, with prefixes; tested against SQLite's FTS5."""
-    return search.bm25_search(table(spark, d, "documents"), items(spark, d), 10, prefix_expansion=True, stemmed=True)
+    return search.bm25_search(documents_index(spark, d, stemmed=True), items(spark, d), 10, prefix_expansion=True)
 
 
 def vector_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -162,37 +172,41 @@ def hash_embed_documents(spark: SparkSession, d: str) -> DataFrame:
     return vectors.hash_embed(table(spark, d, "documents")).select("doc_id", "embedding")
 
 
-def hashed_lists(spark: SparkSession, d: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Each item's best documents by BM25 and by hashed vectors."""
-    docs = table(spark, d, "documents")
+def dense_list(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Each item's best documents by hashed vectors."""
     asked = vectors.hash_embed(items(spark, d), "query").select("query_id", "embedding")
-    rows = vectors.hash_embed(docs).select(F.col("doc_id").alias("id"), "embedding")
-    return search.bm25_search(docs, items(spark, d), k), vectors.cosine_top_k(rows, asked, k)
+    return vectors.cosine_top_k(documents_vectors(spark, d), asked, k)
 
 
 @query("hash_embed_search")
 def hash_embed_search(spark: SparkSession, d: str) -> DataFrame:
-    return hashed_lists(spark, d, 10)[1]
+    return dense_list(spark, d, 10)
 
 
 @query("hybrid_search")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25 and hashed vectors, fused by reciprocal ranks: the best ten of each item."""
-    return fusion.fuse(*hashed_lists(spark, d)).where("rank <= 10")
+    lexical = search.bm25_search(documents_index(spark, d), items(spark, d), 50)
+    return fusion.fuse(lexical, dense_list(spark, d, 50)).where("rank <= 10")
 
 
 def two_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """BM25's best 50 and the best 50 vectors for each item, whose own vector has its id."""
     rows, _ = vector_tables(spark, d)
     asked = items(spark, d).join(rows.select(F.col("id").alias("query_id"), "embedding"), "query_id").select("query_id", "embedding")
-    return search.bm25_search(table(spark, d, "documents"), items(spark, d), 50), vectors.cosine_top_k(rows.select("id", "embedding"), asked, 50)
+    return search.bm25_search(documents_index(spark, d), items(spark, d), 50), vectors.cosine_top_k(rows.select("id", "embedding"), asked, 50)
 
 
-def _fused(score: str, extra: str = "") -> str:
+def fused_clauses(scores: dict[str, str]) -> str:
+    """WITH clauses of the two lists and of a fused list for each name and score."""
     scaled = lambda t: f"(SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS scaled FROM {t} WINDOW w AS (PARTITION BY query_id))"
-    return f"""{sql.bm25(50)}, {sql.cosine(50)}, f AS (SELECT query_id, doc_id AS id, l.rank AS lr, l.score AS lsc, l.scaled AS ls, v.rank AS dr, v.score AS dsc, v.scaled AS ds FROM {scaled('top')} l FULL JOIN {scaled('den')} v USING (query_id, doc_id)),
-g AS (SELECT *, round({score}, 6) AS score FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g)
-SELECT query_id, id, score, rank::INT AS rank{extra} FROM r"""
+    both = f"fu AS (SELECT query_id, doc_id AS id, l.rank AS lr, l.score AS lsc, l.scaled AS ls, v.rank AS dr, v.score AS dsc, v.scaled AS ds FROM {scaled('top')} l FULL JOIN {scaled('den')} v USING (query_id, doc_id))"
+    lists = [f"g_{name} AS (SELECT *, round({score}, 6) AS score FROM fu), {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g_{name})" for name, score in scores.items()]
+    return f"{sql.bm25(50)}, {sql.cosine(50)}, {both}, {', '.join(lists)}"
+
+
+def _fused(score: str, extra: str = "") -> str:
+    return f"{fused_clauses({'r': score})} SELECT query_id, id, score, rank::INT AS rank{extra} FROM r"
 
 
 @query("fuse_rrf", _fused("coalesce(0.65/(60+lr), 0) + coalesce(0.35/(60+dr), 0)"))
@@ -218,7 +232,7 @@ def score_explain(spark: SparkSession, d: str) -> DataFrame:
 def pool(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
     """Each item's best k documents by BM25 with their texts."""
     docs = table(spark, d, "documents")
-    hits = materialise(search.bm25_search(docs, items(spark, d), k), "pool")
+    hits = materialise(search.bm25_search(documents_index(spark, d), items(spark, d), k), "pool")
     rows = hits.join(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("document_title"), F.lit("").alias("heading_context"), F.lit("prose").alias("kind")), "id")
     return rows.join(items(spark, d), "query_id")
 
@@ -256,7 +270,20 @@ def rerank_full(spark: SparkSession, d: str) -> DataFrame:
     return rerank.rerank(pool(spark, d)).select("query_id", "id", "rerank_score", "rank")
 
 
-@query("mmr_select")
+def _mmr_sql(picks: int = 8, balance: float = 0.7) -> str:
+    """Each pick takes the best value of what is left, and what is left notes its likeness to it."""
+    steps = []
+    for k in range(picks):
+        value = f"{balance}::DOUBLE * rel - (1 - {balance}::DOUBLE) * worst"
+        steps.append(f"p{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {value} DESC, rank) AS best FROM c{k}) WHERE best = 1)")
+        alike = "len(list_intersect(c.w, p.w))::DOUBLE / len(list_distinct(list_concat(c.w, p.w)))"
+        steps.append(f"c{k + 1} AS (SELECT c.query_id, c.id, c.rank, c.w, c.rel, greatest(c.worst, coalesce({alike}, 0)) AS worst FROM c{k} c JOIN p{k} p USING (query_id) WHERE c.id <> p.id)")
+    rel = "CASE WHEN max(score) OVER q - min(score) OVER q > 1e-12 THEN (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) ELSE 1.0 END"
+    out = " UNION ALL ".join(f"SELECT query_id, id, {k + 1} AS pick FROM p{k}" for k in range(picks))
+    return f"{sql.bm25(32)}, c0 AS (SELECT query_id, doc_id AS id, rank, list_distinct({sql.words('text')}) AS w, {rel} AS rel, 0.0::DOUBLE AS worst FROM top JOIN documents USING (doc_id) WINDOW q AS (PARTITION BY query_id)), {', '.join(steps)} {out}"
+
+
+@query("mmr_select", _mmr_sql())
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     """Eight diverse documents of each item's best 32; similarity by words."""
     rows = pool(spark, d, 32).select("query_id", "id", "score", "rank", F.lit(None).cast("array<double>").alias("embedding"), F.array_distinct(X.words(F.col("text"))).alias("tokens"))

@@ -49,7 +49,13 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.sha2(F.array_join(s, "\u001f"), 256).alias("joined"))
 
 
-@query("sentence_split_merged")
+LAST_WORD = r"lower(regexp_extract(regexp_replace(acc, '[.]+$', ''), '([^ \t\n\r\f\x0B\x1F]+)$', 1))"
+ABBREVIATED = ", ".join(f"'{a}'" for a in X.ABBREVIATIONS)
+
+
+@query("sentence_split_merged", f"""WITH t AS (SELECT doc_id, {sql.sentences('text')} AS raw FROM documents),
+m AS (SELECT doc_id, string_split(list_reduce(list_transform(raw, lambda x: trim(x, ' ')), lambda acc, x: acc || CASE WHEN {LAST_WORD} IN ({ABBREVIATED}) THEN ' ' ELSE chr(31) END || x), chr(31)) AS s FROM t WHERE len(raw) > 0)
+SELECT doc_id, (unnest(range(len(s))))::INT AS idx, unnest(s) AS sentence FROM m""")
 def sentence_split_merged(spark: SparkSession, d: str) -> DataFrame:
     """Sentences with abbreviations rejoined; see tests for the brute-force version."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("idx", "sentence"))

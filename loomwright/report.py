@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from html import escape
 
@@ -35,3 +36,27 @@ def svg_map(points: DataFrame, size: int = 640) -> str:
         fill = colour if r["retrievals"] else "none"
         out.append(f'<circle cx="{20 + r["x"] * (size - 40):.1f}" cy="{size - 20 - r["y"] * (size - 40):.1f}" r="{radius:.1f}" fill="{fill}" stroke="{colour}"/>')
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">{"".join(out)}</svg>'
+
+
+def svg_rank_histogram(histogram: DataFrame, most: int = 10) -> str:
+    """Bars of how often the first relevant hit stood at each rank; the last bar is of queries where none was found."""
+    n = {r["rank"]: r["n"] for r in histogram.collect()}  # at most most + 1 rows
+    return svg_bars([("not found" if k > most else f"rank {k}", float(n.get(k, 0))) for k in range(1, most + 2)])
+
+
+def json_report(evaluation, metrics: tuple[str, ...] = ()) -> str:
+    """An evaluation as JSON: per label the means, the milliseconds a query and the excluded queries."""
+    out: dict[str, dict] = {}
+    for r in evaluation.summary.orderBy("label", "metric").limit(MOST_POINTS).collect():
+        if not metrics or r["metric"] in metrics:
+            out.setdefault(r["label"], {"milliseconds_per_query": round(evaluation.milliseconds[r["label"]], 3), "excluded": evaluation.excluded[r["label"]], "mean": {}})["mean"][r["metric"]] = r["mean"]
+    return json.dumps(out, indent=2, sort_keys=True)
+
+
+def markdown_report(evaluation, metrics: tuple[str, ...]) -> str:
+    """A table of means, a row per metric and a column per label, with times and excluded queries below."""
+    labels = list(evaluation.milliseconds)
+    mean = {(r["metric"], r["label"]): r["mean"] for r in evaluation.summary.limit(MOST_POINTS).collect()}
+    rows = [["metric", *labels], ["---"] * (len(labels) + 1), *[[m, *[f"{mean[m, x]:.3f}" if (m, x) in mean else "" for x in labels]] for m in metrics]]
+    rows += [["ms per query", *[f"{evaluation.milliseconds[x]:.1f}" for x in labels]], ["excluded", *[str(evaluation.excluded[x]) for x in labels]]]
+    return "\n".join("| " + " | ".join(r) + " |" for r in rows)

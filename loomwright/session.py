@@ -7,14 +7,18 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 #: Tables below this size are worth spreading.
 SMALL_BYTES = 64 << 20
 #: Folders of our own by application, for local sessions without a shared folder.
 _OWN: dict[str, str] = {}
+#: What ``stored`` has built, by application and name.
+_STORED: dict[tuple[str, str], Any] = {}
 #: Written tables of the scopes that are open, innermost last.
 _SCOPES: list[list[str]] = []
 
@@ -68,6 +72,20 @@ def materialise(df: DataFrame, label: str, compact: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, name: str, build: Callable[[], T]) -> T:
+    """What ``build`` writes, once per application and name; for tables that do not change while it runs. Outlives
+    all scopes."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _STORED:
+        open_ = _SCOPES[:]
+        _SCOPES.clear()
+        try:
+            _STORED[key] = build()
+        finally:
+            _SCOPES[:] = open_
+    return _STORED[key]
+
+
 class Scratch:
     """The tables written inside a ``scratch`` scope."""
 

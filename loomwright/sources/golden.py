@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,16 +57,68 @@ def generate(docs: DataFrame, per_document: int = 2, id_col: str = "doc_id", tex
     return first.withColumn("nth", nth).where(F.col("nth") <= per_document).drop("nth")
 
 
+#: A golden set's columns besides id and query; a list that is left out is empty.
+LISTS = {"must_contain": "array<string>", "chunk_ids": "array<string>", "document_ids": "array<string>", "document_titles": "array<string>", "tags": "array<string>", "grades": "map<string,int>"}
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """A golden set from JSON or JSON lines: id, query, must_contain, tags; ids that occur twice fail."""
-    rows = spark.read.option("multiLine", path.endswith(".json")).json(path)
-    if "queries" in rows.columns:
-        rows = rows.select(F.explode("queries").alias("q")).select("q.*")
-    for name, kind in (("must_contain", "array<string>"), ("tags", "array<string>")):
-        rows = rows if name in rows.columns else rows.withColumn(name, F.array().cast(kind))
-    if "id" in rows.columns and not rows.groupBy("id").count().where("count > 1").isEmpty():
+    """A golden set from YAML, JSON (a list, or an object with ``queries``) or JSON lines: id, query, the expectations
+    (chunk_ids, document_ids, document_titles, must_contain), grades and tags. Ids that occur twice fail; a missing id
+    comes from the query."""
+    if path.endswith((".yaml", ".yml")):
+        import yaml  # only where it is installed
+
+        # a golden set is written by hand: it fits on the driver
+        text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+        found = yaml.safe_load(text)
+        lines = [json.dumps(q, ensure_ascii=False) for q in (found["queries"] if isinstance(found, dict) else found)]
+        rows = _parsed(spark.createDataFrame([(x,) for x in lines], "value string"))
+    else:
+        rows = spark.read.option("multiLine", path.endswith(".json")).json(path)
+        if "queries" in rows.columns:
+            rows = rows.select(F.explode("queries").alias("q")).select("q.*")
+        rows = _parsed(rows.select(F.to_json(F.struct(*rows.columns)).alias("value")))
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("a golden set with the same id twice")
-    return rows if "id" in rows.columns else rows.withColumn("id", F.left(F.sha2("query", 256), F.lit(12)))
+    return rows
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Questions from one JSON object a row."""
+    kinds = ", ".join(["id string", "query string", *(f"{n} {k}" for n, k in LISTS.items())])
+    rows = lines.select(F.from_json("value", kinds).alias("q")).select("q.*")
+    rows = rows.withColumn("id", F.coalesce("id", F.left(F.sha2("query", 256), F.lit(12))))
+    return rows.select("id", "query", *[F.coalesce(n, (F.create_map() if k.startswith("map") else F.array()).cast(k)).alias(n) for n, k in LISTS.items()])
+
+
+def save_golden(golden: DataFrame, path: str, name: str = "golden") -> None:
+    """A golden set as a file of the kind that its name says: .yaml, .json or .jsonl."""
+    rows = [{k: v for k, v in r.asDict().items() if v} for r in golden.select("id", "query", *[c for c in LISTS if c in golden.columns]).orderBy("id").toLocalIterator()]
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        text = yaml.safe_dump({"name": name, "queries": rows}, allow_unicode=True, sort_keys=False)
+    elif path.endswith(".json"):
+        text = json.dumps({"name": name, "queries": rows}, ensure_ascii=False, indent=2)
+    else:
+        text = "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def from_pairs(pairs: DataFrame) -> DataFrame:
+    """A golden set from (query, chunk_id) pairs: a question a query, with all its chunks."""
+    rows = pairs.groupBy("query").agg(F.array_sort(F.collect_set(F.col("chunk_id").cast("string"))).alias("chunk_ids"))
+    return _parsed(rows.select(F.to_json(F.struct("query", "chunk_ids")).alias("value")))
+
+
+def mined(log: DataFrame, least: int = 2) -> DataFrame:
+    """A golden set from a retrieval log (query, chunk_id, rank): queries asked ``least`` times or more, with the chunks
+    that most often came first (all of equals)."""
+    tops = log.where("rank = 1").groupBy("query", "chunk_id").agg(F.count("*").alias("n"))
+    asked = Window.partitionBy("query")
+    tops = tops.withColumns({"asked": F.sum("n").over(asked), "most": F.max("n").over(asked)})
+    return from_pairs(tops.where((F.col("asked") >= least) & (F.col("n") == F.col("most"))).select("query", "chunk_id"))
 
 
 def tagged(golden: DataFrame, tag: str) -> DataFrame:
