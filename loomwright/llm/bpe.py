@@ -1,6 +1,6 @@
 """BPE encoding and decoding by speculation and verification.
 
-Every new word is first cut by greedy longest match. A cut is the merges' own result if each token is what the
+Every new word is first cut by greedy longest match, all words of a batch in one pass of an automaton. A cut is the merges' own result if each token is what the
 merges make of its own string and each pair of neighbours is compatible, that is, no merge across their border
 would have come before the tokens were complete. Both checks are run for all tokens and pairs of a batch at once
 with numpy: ranks rise from part to whole, so undoing the later of the two tokens at the border again and again
@@ -20,15 +20,16 @@ import json
 import re
 import sys
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE = 150_000
+NUL = "\0"
 # The code points with the property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -53,6 +54,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _ascii_part(m: re.Match) -> str:
+    """The ASCII characters of a range in a character class."""
+    if m[1] is None:
+        return ""
+    low, high = int(m[1], 16), min(int(m[2], 16), 127)
+    return f"\\x{low:02x}-\\x{high:02x}" if low <= high else ""
+
+
 class WordBpe:
     """A tokenizer file of kind BPE with word ends, NFC, lower case and a splitting pattern."""
 
@@ -67,9 +76,23 @@ class WordBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         for name, inside in ((r"\p{L}", category_ranges("L")), (r"\p{N}", category_ranges("N")), (r"\s", SPACE)):
             split = split.replace(f"[{name}]", f"[{inside}]").replace(name, inside)
-        self.pattern = re.compile(split)
+        # what cannot begin where another part does is tried first: most words are letters
+        parts = split.split("|")
+        plain = [x for x in parts if re.fullmatch(r"\[[^\]^][^\]]*\]\+?", x) and not re.match(x, "'")] if "(" not in split else []
+        self.pattern = re.compile("|".join(plain + [x for x in parts if x not in plain]))
+        # on ASCII the classes are small, and so is the work for each character
+        small = [re.sub(r"\\U([0-9a-f]{8})-\\U([0-9a-f]{8})|\\u2000-\\u200a|\\u[0-9a-f]{4}|\\x85|\\xa0", _ascii_part, x) for x in plain + [x for x in parts if x not in plain]]
+        self.ascii_pattern = re.compile("|".join(small))
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = byte_letters()
+        #: all tokens, with a NUL for the end of a word, and how many characters of a marked word they take
+        self.find, self.size = ahocorasick.Automaton(), np.zeros(max(self.ids.values()) + 1, np.int64)
+        for t, i in self.ids.items():
+            own = t.removesuffix(self.end) + NUL if t.endswith(self.end) else t
+            if i not in self.special.values():
+                self.find.add_word(own, i)
+                self.size[i] = len(own)
+        self.find.make_automaton()
         self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
         n = max(self.ids.values()) + 1
         self.rank, self.left, self.right = (np.full(n, -1, np.int64) for _ in range(3))
@@ -85,8 +108,10 @@ class WordBpe:
         order = np.argsort(keys)
         self.n, self.keys, self.key_ranks = n, keys[order], ranks[order]
         self.sound = self._sound()
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        #: ids (as characters with these code points) and decoded text of the words of this generation and of the one before
+        self.ids_of: dict[str, str] = {}
+        self.text_of: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
 
     def _pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank of merging x with y; very high if there is none."""
@@ -142,10 +167,27 @@ class WordBpe:
         return out
 
     def merge(self, letters: str) -> list[int]:
-        """Exact merging: the lowest rank first, from the left; a heap over a linked list."""
+        """Exact merging: the lowest rank first, from the left. Short words keep the ranks of their pairs in a list, long
+        ones in a heap over linked places."""
+        parts = [self.ids[c] for c in letters[:-1]] + [self.ids[letters[-1] + self.end]]
+        return self._merge_short(parts) if len(parts) <= 32 else self._merge_long(parts)
+
+    def _merge_short(self, parts: list[int]) -> list[int]:
+        get, none = self.merged.get, (sys.maxsize, -1)
+        pairs = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs))[1] >= 0:
+            i = pairs.index(best)
+            parts[i : i + 2] = [best[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get((parts[i - 1], best[1]), none)
+            if i < len(pairs):
+                pairs[i] = get((best[1], parts[i + 1]), none)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
         import heapq
 
-        parts = [self.ids[c] for c in letters[:-1]] + [self.ids[letters[-1] + self.end]]
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*self.merged[p], i, p) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in self.merged]
@@ -163,25 +205,41 @@ class WordBpe:
                     heapq.heappush(heap, (*self.merged[p], a, p))
         return [p for p in parts if p >= 0]
 
+    def proposals(self, letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, word of each) of greedy cuts of all words, in order of words: one pass of an automaton over all of them.
+        A word that it leaves a gap in (no token ends the word there) is cut by itself."""
+        sizes = np.fromiter(map(len, letters), np.int64, len(letters)) + 1
+        found = list(self.find.iter_long(NUL.join(letters) + NUL))
+        ends, tokens = np.array(found, np.int64).reshape(-1, 2).T
+        owner = np.searchsorted(np.cumsum(sizes), ends, "right")
+        gaps = np.flatnonzero(np.bincount(owner, weights=self.size[tokens], minlength=len(letters)) != sizes)
+        if len(gaps):
+            keep = ~np.isin(owner, gaps)
+            cuts = [self.propose(letters[k]) for k in gaps]
+            tokens = np.append(tokens[keep], np.fromiter((t for c in cuts for t in c), np.int64))
+            owner = np.append(owner[keep], np.repeat(gaps, [len(c) for c in cuts]))
+            order = np.argsort(owner, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+        return tokens, owner
+
     def learn(self, words: list[str]) -> None:
         """Encode new words into the cache: propose, check all pairs at once, merge what fails."""
         if not words:
             return
         letters = [self._letters(w) for w in words]
-        cuts = [self.propose(s) for s in letters]
-        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        flat = np.fromiter((t for c in cuts for t in c), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(cuts)), sizes)
-        failed = np.zeros(len(cuts), bool)
+        flat, owner = self.proposals(letters)
+        failed = np.zeros(len(words), bool)
         failed[owner[~self.sound[flat]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[inside] * self.n + flat[inside + 1], return_inverse=True)
         good = self.compatible(pairs // self.n, pairs % self.n)
         failed[owner[inside[~good[back]]]] = True
-        for k in np.flatnonzero(failed):
-            cuts[k] = self.merge(letters[k])
-        for w, c in zip(words, cuts, strict=True):
-            self.cache[w] = (array("I", c).tobytes(), " ".join([self.names[t] for t in c]))
+        names, every = self.names, flat.tolist()
+        starts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        for k, (w, bad) in enumerate(zip(words, failed.tolist(), strict=True)):
+            cut = self.merge(letters[k]) if bad else every[starts[k] : starts[k + 1]]
+            self.ids_of[w] = "".join(map(chr, cut))
+            self.text_of[w] = " ".join([names[t] for t in cut])
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens in it stand as themselves, marked by a leading NUL."""
@@ -193,29 +251,30 @@ class WordBpe:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.pattern.findall(text.lower())
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """Per text: number of ids, ids as little-endian 32-bit integers, decoded text."""
         cut = [self.words(t) for t in texts]
         every = set().union(*cut)
-        if len(self.cache) + len(every) > CACHE:
-            self.cache, self.older = {}, self.cache
-        new = every.difference(self.cache)
-        for w in new & self.older.keys():
-            self.cache[w] = self.older[w]
-        new -= self.older.keys()
+        if len(self.ids_of) + len(every) > CACHE:
+            self.older, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
+        new = every.difference(self.ids_of)
+        old_ids, old_texts = self.older
+        for w in new & old_ids.keys():
+            self.ids_of[w], self.text_of[w] = old_ids[w], old_texts[w]
+        new -= old_ids.keys()
         for w in [w for w in new if w[0] == "\0" and w[1:] in self.special]:
-            self.cache[w] = (array("I", [self.special[w[1:]]]).tobytes(), w[1:])
+            self.ids_of[w], self.text_of[w] = chr(self.special[w[1:]]), w[1:]
             new.discard(w)
         self.learn(sorted(new))
+        ids_of, text_of = self.ids_of.__getitem__, self.text_of.__getitem__
         out = []
         for words in cut:
-            found = [self.cache[w] for w in words]
-            ids = b"".join([f[0] for f in found])
-            out.append((len(ids) // 4, ids, " ".join([f[1] for f in found])))
+            ids = "".join(map(ids_of, words))
+            out.append((len(ids), ids.encode("utf-32-le", "surrogatepass"), " ".join(map(text_of, words))))
         return out
 
 
