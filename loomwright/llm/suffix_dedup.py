@@ -17,10 +17,11 @@ are ruled out first, exactly:
    lists on disk, recursion on names, limited memory); neighbours that agree in ``LENGTH`` bytes are one string, and
    the smallest document of each decides.
 4. An anchor with more than about ``HOT`` different contexts is hot: a line on many pages. Hot anchors are found in a
-   sample of the documents (one in ``HOT_SAMPLE``; which are found changes only where work is done). Their entries are
-   spread over the shards by context, and their contexts are compared window by window instead of in one shard (by
-   128 bits of hash), with the smallest document of each window found by partial aggregation. So are the contexts of
-   an anchor that the sample missed, once a shard has counted more than ``HOT``.
+   sample of the documents (one in ``HOT_SAMPLE``; which are found changes only where work is done), and their entries
+   are spread over the shards by context. Equal strings around an anchor agree in ``SIDE`` bytes before it or in
+   ``SIDE`` bytes after it, so each hot context goes to two shards, that of either side's bytes, instead of its anchor's.
+   Where even one side has more than ``HOT`` contexts, these are compared window by window (by 128 bits of hash), with the
+   smallest document of each window found by partial aggregation.
 5. The covered stretches of each document are joined and cut out of its text.
 
 Texts are shuffled only for documents that have anything to check or to cut. Tables of ids are broadcast only
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,8 @@ HOT, MOST_HOT, HOT_SAMPLE = 20_000, 100_000, 64
 BATCH_BYTES = 8 << 20
 #: A context's bytes before and after its anchor.
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
+#: Of two sides that together agree in LENGTH - GRAM bytes, one agrees in so many.
+SIDE = (LENGTH - GRAM) // 2
 ENTRY = np.dtype([("hash", "<u8"), ("context", "<u8"), ("pos", "<u4"), ("row", "<u2")])
 
 
@@ -181,7 +185,8 @@ def _entries(raw: bytes) -> np.ndarray:
     return out
 
 
-FOUND = "doc long, text_key long, start int, end int, anchor_hash long, hot boolean"
+FOUND = "doc long, text_key long, pos int, end int, anchor_hash long, hot boolean"
+START = f"greatest(pos - {BEFORE}, 0) AS start"
 
 
 def _match(table: pa.Table, hot: np.ndarray = np.zeros(0, np.uint64)) -> pa.Table:
@@ -213,10 +218,10 @@ def _match(table: pa.Table, hot: np.ndarray = np.zeros(0, np.uint64)) -> pa.Tabl
     check = new & (spread | ((contexts[group] > 1) & (first < last)[group]))
     keep = covered | check
     pos = e["pos"].astype(np.int64)
-    start, end = np.maximum(pos - BEFORE, 0), np.minimum(pos + AFTER, length.astype(np.int64))
+    end = np.minimum(pos + AFTER, length.astype(np.int64))
     group_hash = np.where(covered, np.uint64(0), h).view(np.int64)
     wordhash.trim()
-    return pa.table({"doc": doc[keep], "text_key": key[keep], "start": start[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep], "hot": ((contexts > HOT)[group] | spread)[keep]})
+    return pa.table({"doc": doc[keep], "text_key": key[keep], "pos": pos[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep], "hot": ((contexts > HOT)[group] | spread)[keep]})
 
 
 def _check(table: pa.Table) -> pa.Table:
@@ -265,17 +270,28 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _by_windows(contexts: DataFrame) -> DataFrame:
-    """As _check, for contexts that may be too many for one task."""
+    """As _check, for contexts (written) that may be too many for one task."""
     whole = contexts.where(F.octet_length("context") >= LENGTH)
     each = whole.select("doc", "text_key", "start", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("at"))
     window = F.unhex(F.md5(F.substring(F.col("context"), F.col("at") + 1, F.lit(LENGTH))))
-    windows = materialise(each.select("doc", "text_key", (F.col("start") + F.col("at")).alias("start"), window.alias("window")), "windows")
+    windows = each.select("doc", "text_key", (F.col("start") + F.col("at")).alias("start"), window.alias("window"))
     least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     least = materialise(least, "least")  # a written side: a small one goes to every task, else Spark splits hot windows
     gone = windows.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "window").where("doc > least")
     return gone.select("doc", "text_key", "start", (F.col("start") + LENGTH).alias("end"))
 
 
+def _sides(text: bytes, pos: int, anchor: int) -> list[int]:
+    """Keys of the bytes on either side of an anchor, where there are enough."""
+    after, seed = pos + GRAM, anchor % (1 << 64)
+    out = []
+    if pos >= SIDE:
+        out.append(xxhash.xxh3_64_intdigest(text[pos - SIDE : pos], seed) >> 1)
+    if after + SIDE <= len(text):
+        out.append(xxhash.xxh3_64_intdigest(text[after : after + SIDE], seed ^ 1) >> 1)
+    return out
+
+
 def _ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows joined to a written table of (doc, text_key) by its counted size."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["doc", "text_key"], how)
@@ -301,31 +317,50 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     hot = hot_anchors(rest)
     packed = rest.mapInArrow(_send_anchors(shards, hot), "shard long, docs binary, keys binary, lengths binary, entries binary, covered binary")
     found = materialise(packed.groupBy("shard").applyInArrow(lambda table: _match(table, hot), FOUND), "anchors", compact=False)
-    sure = found.where("anchor_hash = 0").select("doc", "text_key", "start", "end")
+    sure = found.where("anchor_hash = 0").selectExpr("doc", "text_key", START, "end")
     open_ = found.where("anchor_hash <> 0")
     doubtful = materialise(open_.select("doc", "text_key").distinct(), "doubtful")
     texts = _ids(rest, doubtful, "left_semi").dropDuplicates(["doc", "text_key"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py().encode()
-                want = batch.column(3)[i].values
-                start, end = want.field("start").to_numpy(), want.field("end").to_numpy()
-                shard = (want.field("anchor_hash").to_numpy().view(np.uint64) >> np.uint64(33)) % np.uint64(shards)
-                n = len(start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int64)), pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int64)), pa.array(start), pa.array([text[s:e] for s, e in zip(start, end, strict=True)], pa.binary())],
-                    names=["shard", "doc", "text_key", "start", "context"],
-                )
-
-    def contexts(some: DataFrame) -> DataFrame:
-        wanted = some.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end", "anchor_hash")).alias("wanted"))
-        return texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut, "shard long, doc long, text_key long, start int, context binary")
-
-    checked = contexts(open_.where("NOT hot")).groupBy("shard").applyInArrow(_check, "doc long, text_key long, start int, end int")
+    def cut(sides: bool):
+        """Arrow batches of (doc, text_key, text, wanted) to contexts with the key of their shard, or of either side."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    text = batch.column(2)[i].as_py().encode()
+                    want = batch.column(3)[i].values
+                    pos, end, anchor = (want.field(c).to_numpy() for c in ("pos", "end", "anchor_hash"))
+                    keys, at = (anchor.view(np.uint64) >> np.uint64(33)).astype(np.int64), np.arange(len(pos))
+                    if sides:
+                        both = [(k, side) for k in range(len(pos)) for side in _sides(text, int(pos[k]), int(anchor[k]))]
+                        at, keys = np.array([k for k, _ in both], np.int64), np.array([x for _, x in both], np.int64)
+                    start = np.maximum(pos - BEFORE, 0).astype(np.int32)[at]
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys), pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int64)), pa.array(start), pa.array([text[s:e] for s, e in zip(start, end[at], strict=True)], pa.binary())],
+                        names=["key", "doc", "text_key", "start", "context"],
+                    )
+
+        return run
+
+    def contexts(some: DataFrame, sides: bool) -> DataFrame:
+        wanted = some.groupBy("doc", "text_key").agg(F.collect_list(F.struct("pos", "end", "anchor_hash")).alias("wanted"))
+        return texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut(sides), "key long, doc long, text_key long, start int, context binary")
+
+    to_check = contexts(open_.where("NOT hot"), False)
+    by_windows = None
     if not open_.where("hot").isEmpty():
-        checked = checked.unionByName(_by_windows(contexts(open_.where("hot"))))
+        spread = materialise(contexts(open_.where("hot"), True), "hot")
+        wide = materialise(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "wide")
+        if not wide.isEmpty():
+            wide = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
+            by_windows = _by_windows(spread.join(wide, "key", "left_semi"))
+            spread = spread.join(wide, "key", "left_anti")
+        to_check = to_check.unionByName(spread)
+    checked = to_check.withColumn("shard", F.pmod("key", F.lit(shards))).drop("key").groupBy("shard").applyInArrow(_check, "doc long, text_key long, start int, end int")
+    if by_windows is not None:
+        checked = checked.unionByName(by_windows)
     spans = sure.unionByName(checked).groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return copies, tables.keep(spans, "spans", compact=False)
 
