@@ -1,16 +1,16 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
 Every rolling word bigram of a document is hashed and joined to the bigrams of a fixed list of license
-templates; a hit must also have the third word of the template where it has one. A hit at word ``p`` of
-template place ``t`` votes for the diagonal ``p - t``. Votes are gathered as a bit mask of template places
-per diagonal, diagonals at most ``slack`` apart are merged (a word added or left out moves the diagonal),
+notices and whole license texts; a hit must also have the third word of the template where it has one. A hit at word ``p`` of
+template place ``t`` votes for the diagonal ``p - t``. Votes are gathered as bit masks of template places, 63
+places each, per diagonal, diagonals at most ``slack`` apart are merged (a word added or left out moves the diagonal),
 and a merged span counts if the template places that it holds, word for word, are enough of the template.
 
 The template list is a constant, so broadcasting it is bounded. Each document adds one sentinel row with its
 word count to the same stream, so the texts are read once and never shuffled; only votes are.
 
-Defined results: a null text has no words; documents are told apart by id and text, so exactly repeated rows
-give one row and different texts under one id (also a null id) give one row each; other columns are ignored.
+Defined results: a null text has no words; documents are told apart by id and text. Votes of rows that repeat both
+cannot be told apart without moving texts, so such rows give one row, with the one result they all have; different texts under one id (also a null id) give one row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,12 +49,57 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
+# Whole license texts and longer notices, and their labels.
+TEXTS = [
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must "
+        "retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and "
+        "contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+        "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability "
+        "or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either "
+        "version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+        "warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public "
+        "license along with this program if not see",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability "
+        "and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular "
+        "purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+]
+
 SLACK, COVER = 2, 0.7
+#: Places of a template that one mask holds.
+MASK = 63
 
 
 def templates() -> list[tuple[int, str, bool, list[str]]]:
-    """(number, label, whether a base phrase, words); bit masks hold up to 63 places."""
-    both = [(label, True, words) for label, words in BASE] + [(label, False, words) for label, words in NOTICES]
+    """(number, label, whether a base phrase, words)."""
+    both = [(label, True, words) for label, words in BASE] + [(label, False, words) for label, words in NOTICES + TEXTS]
     return [(n, label, base, text.split()) for n, (label, base, text) in enumerate(both)]
 
 
@@ -93,8 +138,8 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     hits = at.join(F.broadcast(_grams(docs.sparkSession)), "key").where(same)
     return (
         hits.select("id", "text_key", "tmpl", "label", "base", "t_words", "t_grams", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
-        .groupBy("id", "text_key", "tmpl", "label", "base", "t_words", "t_grams", "diagonal")
-        .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+        .groupBy("id", "text_key", "tmpl", "label", "base", "t_words", "t_grams", "diagonal", F.floor(F.col("place") / MASK).cast("int").alias("part"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, place % {MASK})")).alias("mask"))
     )
 
 
@@ -105,10 +150,10 @@ def license_spans(voted: DataFrame, slack: int = SLACK, cover: float = COVER) ->
     gap = F.col("diagonal") - F.lag("diagonal").over(by)
     real = real.withColumn("new", F.when(gap.isNull() | F.col("base") | (gap > slack), 1).otherwise(0))
     real = real.withColumn("span", F.sum("new").over(by))
-    spans = real.groupBy("id", "text_key", "tmpl", "label", "base", "t_words", "t_grams", "span").agg(
-        F.bit_or("mask").alias("mask"), F.min("diagonal").alias("first_diagonal"), F.max("diagonal").alias("last_diagonal")
-    )
-    spans = spans.withColumn("covered", F.bit_count("mask") / F.col("t_grams"))
+    span = ["id", "text_key", "tmpl", "label", "base", "t_words", "t_grams", "span"]
+    parts = real.groupBy(*span, "part").agg(F.bit_or("mask").alias("mask"), F.min("diagonal").alias("first_diagonal"), F.max("diagonal").alias("last_diagonal"))
+    spans = parts.groupBy(*span).agg(F.sum(F.bit_count("mask")).alias("places"), F.min("first_diagonal").alias("first_diagonal"), F.max("last_diagonal").alias("last_diagonal"))
+    spans = spans.withColumn("covered", F.col("places") / F.col("t_grams"))
     spans = spans.where(F.when(F.col("base"), F.col("covered") == 1).otherwise(F.col("covered") >= cover))
     return spans.select(
         "id", "text_key", "label", "base", "covered",

@@ -85,6 +85,26 @@ def test_quality_rules(docs, empty):
     assert quality_rules.apply_rules(empty).count() == 0 and quality_rules.quality_report(empty).count() == 0
 
 
+def test_license_texts(spark):
+    """Whole license texts are found with words changed, left out or added; other texts that share words are not."""
+    rng = random.Random(31)
+    noise = lambda n: " ".join(rng.choice(["the", "of", "software", "river", "license", "is", "and"]) for _ in range(n))
+    rows = []
+    for n, (label, text) in enumerate(license_scan.TEXTS):
+        w = text.split()
+        w[10:11] = ["changed", "twice"]
+        del w[40]
+        rows += [(2 * n, f"{noise(50)}. {' '.join(w).capitalize()}. {noise(30)}", label), (2 * n + 1, noise(200), "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(table).collect()}
+    for i, _, want in rows:
+        labels = set(got[i].labels.split(",")) - {""}
+        assert want in labels if want else not labels, (i, got[i])
+        assert got[i].score >= 0.9 if want else got[i].score == 0
+    masks = license_scan.votes(table).where("tmpl >= 0").agg(F.max("part"), F.max(F.bit_count("mask"))).first()
+    assert masks[0] >= 2 and masks[1] <= license_scan.MASK
+
+
 def brute_verdicts(rows: list[tuple]) -> dict[int, bool]:
     """kept of each id of rows (id, text, lang, host, ...), from the rules' definition."""
     measured = {}
