@@ -24,8 +24,8 @@ from loomwright.session import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 RATIO, MIN_PAGES = 0.2, 10
-#: Marked pages go to every task up to this many (counted); beyond that texts are shuffled to their marks.
-BROADCAST_ROWS = 300_000
+#: Marks go to every task up to this many bytes (counted); beyond that texts are shuffled to their marks.
+BROADCAST_BYTES = 48 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -67,7 +67,8 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     split = F.split(F.col("__text"), "\n")
     kept = F.filter(split, lambda line: ~F.array_contains("drop", F.xxhash64(line_key(line))) | (line_key(line) == ""))
     marks = materialise(marks, "marks")
-    out = keyed.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, ["__page", "__page2"], "left")
+    size = marks.agg(F.sum(F.size("drop") * 8 + 64)).first()[0] or 0  # a row's keys and place, and its lines' hashes
+    out = keyed.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, ["__page", "__page2"], "left")
     kept = F.when(F.col("drop").isNull(), split).otherwise(kept)
     return out.select("__row", "__text", split.alias("__all"), kept.alias("__kept")).select(
         "__row",
