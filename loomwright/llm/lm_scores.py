@@ -6,7 +6,8 @@ counts of w, and a part of v, which needs only its count; so one shuffle by word
 to score, and no executor holds the whole model, which grows with the corpus.
 
 1. Words are counted (hashes and counts, gathered per batch): N, V, and the hot words, those with more than a
-   share of a shard. There are at most 4 x shards of them; their counts go to all tasks.
+   share of a shard. There are at most 4 x shards of them, and at most ``MOST_HOT`` are taken; their counts go to
+   all tasks.
 2. Tokens go, packed, to the shard of their word; hot words are spread over the shards by the word before.
 3. Each shard builds its trie - words, and below each the words before it, in Elias-Fano levels with quantised
    values, as memory-mapped files in a temporary folder, one range of words after the other - and scores its
@@ -36,6 +37,8 @@ from loomwright.session import materialise
 MU = 100.0
 SHARD_TOKENS, SLICE_TOKENS = 4_000_000, 500_000
 BATCH_BYTES = 6 << 20
+#: Words that are spread over the shards, at most; any other word is less than a hundred-thousandth of all tokens.
+MOST_HOT = 100_000
 #: Stands for a null id on the way.
 NO_ID = -(1 << 63)
 END, BEGIN = np.uint64(2), np.uint64(4)
@@ -241,8 +244,9 @@ def lm_scores(docs: DataFrame, mu: float = MU, id_col: str = "doc_id", text_col:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     documents = (counts.where(F.col("word") == int(END)).first() or {"n": 0})["n"]
     shards = max(4, -(-int(total * 7 / 6) // SHARD_TOKENS))
-    # at most 4 x shards rows
-    hot_rows = sorted((r["word"] % (1 << 64), r["n"]) for r in counts.where(F.col("n") > total / (4 * shards)).collect())
+    # at most 4 x shards rows, and at most MOST_HOT
+    often = counts.where(F.col("n") > total / (4 * shards)).orderBy(F.desc("n"), "word").limit(MOST_HOT)
+    hot_rows = sorted((r["word"] % (1 << 64), r["n"]) for r in often.collect())
     hot, hot_counts = np.array([h for h, _ in hot_rows], np.uint64), np.array([n for _, n in hot_rows], np.int64)
     packed = rows.mapInArrow(_pack(shards, hot), PACKED)
     parts = packed.groupBy("shard").applyInArrow(_score(hot, hot_counts, total, documents, mu), PARTS)
