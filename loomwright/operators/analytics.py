@@ -66,6 +66,19 @@ def pca_2d(vectors: DataFrame) -> tuple[DataFrame, float]:
     return unit.select("id", place(axes[0]).alias("x"), place(axes[1]).alias("y")), share
 
 
+def project(vectors: DataFrame, method: str = "auto", methods: dict | None = None) -> tuple[DataFrame, str]:
+    """((id, x, y), note) by the first of the plugged ``methods`` (name to a function of vectors) that works, else by the
+    two main axes; the note says which one it was, and why others were not."""
+    notes = []
+    for name in [method] if method not in ("auto", "pca") else list(methods or {}) if method == "auto" else []:
+        try:
+            return (methods or {})[name](vectors), "; ".join([*notes, name])
+        except Exception as problem:
+            notes.append(f"{name}: {'not there' if isinstance(problem, KeyError) else problem}")
+    points, share = pca_2d(vectors)
+    return points, "; ".join([*notes, f"pca, {share:.0%} of the variance"])
+
+
 def unit_square(points: DataFrame) -> DataFrame:
     """x and y moved and scaled into 0..1 by the larger span; one point is in the middle."""
     box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,3 +217,78 @@ def frontier(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         new = seen.where(F.col("depth") == d - 1).join(same, F.col("url") == F.col("source")).select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
         seen = materialise(seen.unionByName(new.withColumn("depth", F.lit(d))), "crawl")
     return seen
+
+
+def zip_members(files: DataFrame) -> DataFrame:
+    """path, content, error: the members of archives (path, content), read one by one without unpacking; a broken archive
+    is one row with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for b in batches:
+            for path, raw in zip(b["path"], b["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+                        for name in archive.namelist():
+                            if not name.endswith("/"):
+                                yield pd.DataFrame([(name, archive.read(name), None)], columns=["path", "content", "error"])
+                except Exception as problem:
+                    yield pd.DataFrame([(path, None, str(problem))], columns=["path", "content", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, content binary, error string")
+
+
+def notion_documents(members: DataFrame, least: int = 20) -> DataFrame:
+    """path, title, page_id, ancestors, kind, text of an export's pages and tables (path, content): no ``_all.csv``, no
+    bodies of fewer than ``least`` characters."""
+    kind = F.regexp_extract(F.lower("path"), r"\.(md|csv)$", 1)
+    rows = members.where((kind != "") & ~F.col("path").rlike(r"(?i)_all\.csv$")).select("path", kind.alias("kind"), decoded(F.col("content")).alias("text"))
+    rows = rows.where(F.length(F.trim("text")) >= least)
+    return rows.select("path", notion_name(F.col("path")).alias("n"), notion_ancestors(F.col("path")).alias("ancestors"), "kind", "text").select("path", "n.*", "ancestors", "kind", "text")
+
+
+def repo_tree(replies: DataFrame, most: int = 400) -> DataFrame:
+    """repo, path, size of the files that a tree reply (repo, reply as JSON) lists and that are worth indexing: at most
+    ``most`` a repository, by path, which is the source's own setting."""
+    rows = replies.select("repo", F.explode(F.from_json("reply", "tree array<struct<path:string,type:string,size:bigint>>")["tree"]).alias("t")).select("repo", "t.*")
+    rows = rows.where((F.col("type") == "blob") & is_indexable(F.col("path"), F.coalesce("size", F.lit(0))))
+    nth = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= most).select("repo", "path", "size")
+
+
+def repo_contents(replies: DataFrame) -> DataFrame:
+    """path, text, error of contents replies (reply as JSON, with base64 content); what holds a NUL byte is binary."""
+    r = F.from_json("reply", "path string, encoding string, content string")
+    raw = F.unbase64(F.regexp_replace(r["content"], r"\s", ""))
+    rows = replies.select(r["path"].alias("path"), F.when(r["encoding"] == "base64", raw).otherwise(F.to_binary(r["content"], F.lit("utf-8"))).alias("raw"))
+    binary = F.hex("raw").rlike("^(..)*?00")
+    return rows.select("path", F.when(~binary, decoded(F.col("raw"))).alias("text"), F.when(binary, "binary file").alias("error"))
+
+
+def transcript_cues(replies: DataFrame) -> DataFrame:
+    """video, idx, text, start, duration of transcript replies (video, reply as JSON): a list of cues, or an object with
+    ``snippets``. Cues without text after cleaning are left out."""
+    cue = "struct<text:string,start:double,duration:double>"
+    listed, wrapped = F.from_json("reply", f"array<{cue}>"), F.from_json("reply", f"snippets array<{cue}>")["snippets"]
+    rows = replies.select("video", F.posexplode(F.when(F.ltrim("reply").startswith("["), listed).otherwise(wrapped)).alias("idx", "c"))
+    return rows.select("video", "idx", clean_cue(F.col("c.text")).alias("text"), "c.start", "c.duration").where("text <> ''")
+
+
+def page_error(content_type: Column, text: Column, least: int = 80) -> Column:
+    """Why a fetched page is not taken: no HTML or XML, or too little text after cleaning; null if it is taken."""
+    return F.when(~F.coalesce(content_type.rlike("(?i)html|xml"), F.lit(False)), "not a page of text").when(F.length(F.coalesce(text, F.lit(""))) < least, "too little text")
+
+
+def unique_names(files: DataFrame, name: str = "name", order: str = "id") -> DataFrame:
+    """``files`` with ``stored_name``: the first file of a name keeps it, others get a number before the ending that no
+    given name has."""
+    nth = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    rows = files.withColumn("__nth", nth)
+    stem, end = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), suffix(F.col(name))
+    rows = rows.withColumn("__new", F.when(F.col("__nth") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("__nth").cast("string"), end)))
+    taken = files.select(F.col(name).alias("__new")).distinct().withColumn("__taken", F.lit(True))
+    rows = rows.join(taken, "__new", "left")
+    clash = (F.col("__nth") > 0) & F.col("__taken")
+    return rows.withColumn("stored_name", F.when(clash, F.concat(stem, F.lit("-"), F.col("__nth").cast("string"), F.lit("-"), F.left(F.sha2(F.col(order).cast("string"), 256), F.lit(8)), end)).otherwise(F.col("__new"))).drop("__nth", "__new", "__taken")
