@@ -319,8 +319,6 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     found = materialise(packed.groupBy("shard").applyInArrow(lambda table: _match(table, hot), FOUND), "anchors", compact=False)
     sure = found.where("anchor_hash = 0").selectExpr("doc", "text_key", START, "end")
     open_ = found.where("anchor_hash <> 0")
-    doubtful = materialise(open_.select("doc", "text_key").distinct(), "doubtful")
-    texts = _ids(rest, doubtful, "left_semi").dropDuplicates(["doc", "text_key"])
 
     def cut(sides: bool):
         """Arrow batches of (doc, text_key, text, wanted) to contexts with the key of their shard, or of either side."""
@@ -345,6 +343,8 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
         return run
 
     def contexts(some: DataFrame, sides: bool) -> DataFrame:
+        doubtful = materialise(some.select("doc", "text_key").distinct(), "doubtful")
+        texts = _ids(rest, doubtful, "left_semi").dropDuplicates(["doc", "text_key"])
         wanted = some.groupBy("doc", "text_key").agg(F.collect_list(F.struct("pos", "end", "anchor_hash")).alias("wanted"))
         return texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut(sides), "key long, doc long, text_key long, start int, context binary")
 
