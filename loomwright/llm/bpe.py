@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 150_000
+CACHE = 250_000
 NUL = "\0"
 # The code points with the property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -108,10 +108,10 @@ class WordBpe:
         order = np.argsort(keys)
         self.n, self.keys, self.key_ranks = n, keys[order], ranks[order]
         self.sound = self._sound()
-        #: ids (as characters with these code points) and decoded text of the words of this generation and of the one before
+        #: ids (as characters with these code points) of the words of this generation and of the one before
         self.ids_of: dict[str, str] = {}
-        self.text_of: dict[str, str] = {}
-        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
+        self.older: dict[str, str] = {}
+        self.shown = [self.names.get(i, "") for i in range(max(self.names) + 1)]
 
     def _pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank of merging x with y; very high if there is none."""
@@ -234,12 +234,10 @@ class WordBpe:
         pairs, back = np.unique(flat[inside] * self.n + flat[inside + 1], return_inverse=True)
         good = self.compatible(pairs // self.n, pairs % self.n)
         failed[owner[inside[~good[back]]]] = True
-        names, every = self.names, flat.tolist()
+        every = "".join(map(chr, flat.tolist()))
         starts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        for k, (w, bad) in enumerate(zip(words, failed.tolist(), strict=True)):
-            cut = self.merge(letters[k]) if bad else every[starts[k] : starts[k + 1]]
-            self.ids_of[w] = "".join(map(chr, cut))
-            self.text_of[w] = " ".join([names[t] for t in cut])
+        for w, own, bad, low, high in zip(words, letters, failed.tolist(), starts, starts[1:], strict=False):
+            self.ids_of[w] = "".join(map(chr, self.merge(own))) if bad else every[low:high]
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens in it stand as themselves, marked by a leading NUL."""
@@ -260,21 +258,20 @@ class WordBpe:
         cut = [self.words(t) for t in texts]
         every = set().union(*cut)
         if len(self.ids_of) + len(every) > CACHE:
-            self.older, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
+            self.older, self.ids_of = self.ids_of, {}
         new = every.difference(self.ids_of)
-        old_ids, old_texts = self.older
-        for w in new & old_ids.keys():
-            self.ids_of[w], self.text_of[w] = old_ids[w], old_texts[w]
-        new -= old_ids.keys()
-        for w in [w for w in new if w[0] == "\0" and w[1:] in self.special]:
-            self.ids_of[w], self.text_of[w] = chr(self.special[w[1:]]), w[1:]
+        for w in new & self.older.keys():
+            self.ids_of[w] = self.older[w]
+        new -= self.older.keys()
+        for w in [w for w in new if w[0] == NUL and w[1:] in self.special]:
+            self.ids_of[w] = chr(self.special[w[1:]])
             new.discard(w)
         self.learn(sorted(new))
-        ids_of, text_of = self.ids_of.__getitem__, self.text_of.__getitem__
+        ids_of, shown = self.ids_of.__getitem__, self.shown.__getitem__
         out = []
         for words in cut:
-            ids = "".join(map(ids_of, words))
-            out.append((len(ids), ids.encode("utf-32-le", "surrogatepass"), " ".join(map(text_of, words))))
+            ids = "".join(map(ids_of, words)).encode("utf-32-le", "surrogatepass")
+            out.append((len(ids) // 4, ids, " ".join(map(shown, memoryview(ids).cast("I")))))
         return out
 
 

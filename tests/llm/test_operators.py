@@ -638,6 +638,64 @@ def test_chosen_path_with_several_texts_under_one_id(spark):
     assert [texts[n][0] for n in left] == [texts[c][0] for c in classes]
 
 
+def brute_pipeline(rows: list[tuple], items: list[tuple], library) -> dict[int, tuple]:
+    """doc_id to (ids, decoded) of what all stages leave, from their definitions."""
+    verdict = brute_verdicts(rows)
+    rows = [r for r in rows if verdict[r[0]]]
+    key = lambda x: x.strip(" \t\n\v\f\r").translate(FOLD)
+    pages, seen = collections.Counter(), collections.Counter()
+    for _, t, _, host, *_ in rows:
+        pages[host] += 1
+        seen.update((host, x) for x in {key(x) for x in (t or "").split("\n")} if x)
+    bad = {k for k, n in seen.items() if n >= 10 and pages[k[0]] >= 10 and n > 0.2 * pages[k[0]]}
+    rows = [(i, "\n".join(x for x in t.split("\n") if (host, key(x)) not in bad)) for i, t, _, host, *_ in rows]
+    classes = brute_classes(rows)
+    left = {i: t for i, t in rows if classes[i][0] == i}
+    for _, item in items:
+        w = ALNUM.findall((item or "").translate(FOLD))
+        k = min(5, len(w))
+        grams = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+        for i, t in list(left.items()):
+            v = ALNUM.findall(t.translate(FOLD))
+            if grams and 100 * len(grams & {tuple(v[j : j + k]) for j in range(len(v) - k + 1)}) >= 80 * len(grams):
+                del left[i]
+    out = {}
+    for i, t in left.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        out[i] = ids, library.decode(ids, skip_special_tokens=False)
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    items = [(7, corpus()[46][1].split("\n")[5] + " " + corpus()[46][1].split("\n")[6]), (8, None), (9, "nothing of this occurs")]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = brute_pipeline(corpus(), items, library)
+    assert len(rows) == len(want) > 20
+    assert {r.doc_id: (r.ids, r.decoded) for r in rows} == want and all(r.n_tokens == len(r.ids) for r in rows)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_tokenizers_on_awkward_tables(spark, empty):
+    """Empty tables, repeated rows, control pieces as plain text, scores of repeated rows, columns with clashing names."""
+    bpe_file, piece_file = tokenizer_file("word_bpe_49k.json"), tokenizer_file("piece_bpe_32k.model")
+    assert bpe.encode_decode(empty, bpe_file).count() == 0 and bpe.encode_decode(empty, bpe_file, digest=True).count() == 0
+    assert token_counts.count_tokens(empty, piece_file, kind=token_counts.Merges).count() == 0
+    rows = [(1, "<s> <unk> <0x0A> text", 5), (1, "<s> <unk> <0x0A> text", 5), (None, None, 5), (2, "word " * 20000, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").withColumn("ids", F.lit(1)).withColumn("score", F.lit(2.0))
+    ours = [(r.n_tokens, r.score) for r in token_counts.count_tokens(table, piece_file, kind=token_counts.Merges).where("doc_id = 1").collect()]
+    assert len(ours) == 2 and ours[0] == ours[1] and ours[0][0] > 8  # as plain text, no control piece is one token
+    got = bpe.encode_decode(table, bpe_file).collect()
+    assert len(got) == 4 and next(r for r in got if r.doc_id == 2).n_tokens == 20000 and next(r for r in got if r.doc_id is None).ids == []
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
