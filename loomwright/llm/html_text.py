@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.wordhash import small_batches
+
 # HTML element names by role.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +53,7 @@ BAD_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb bre
 FOLLOWERS = frozenset("area bar block body box container content form group holder inner item left link links list outer panel right section slot thread top bottom unit wrap wrapper".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 NAME_PARTS = re.compile(r"[A-Za-z]+|\d+")
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<!--(?:.*?--!?>|[^>]*>)|<[!?][^>]*>""", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<!--|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 ANCHOR = re.compile(r"<(/?)a[\s>]", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；？！¿¡]")
@@ -146,15 +148,31 @@ class _Reader:
         self.stack.append((name, f"{name}.{names}" if names else name, excluded(name, given)))
 
 
+def _same_length_lower(page: str) -> str:
+    low = page.lower()
+    return low if len(low) == len(page) else page
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     reader, at = _Reader(), 0
     low = ""
+    open_ended: set[str] = set()  # what has no end from here on, so that it is looked for once
+
+    def ends(mark: str, text: str) -> int:
+        found = -1 if mark in open_ended else text.find(mark, at)
+        if found < 0:
+            open_ended.add(mark)
+        return found
+
     while m := TAG.search(page, at):
         if m.start() > at:
             reader.text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0] == "<!--":
+                end = ends("-->", page)
+                at = end + 3 if end >= 0 else page.find(">", at) + 1 or len(page)
             continue
         close, name, raw = m[1], m[2].lower(), m[3]
         if name == "a":
@@ -164,10 +182,10 @@ def blocks(page: str) -> list[Block]:
             reader.flush()
         elif name in RAW or name in MEDIA:
             if not close and not raw.rstrip().endswith("/"):
-                low = low or page.lower()
-                end = low.find(f"</{name}", at) if len(low) == len(page) else page.find(f"</{name}", at)
+                low = low or _same_length_lower(page)
+                end = ends(f"</{name}", low)
                 # never closed: what it holds ends at the next tag
-                at = end if end >= 0 else page.find("<", at) if page.find("<", at) >= 0 else len(page)
+                at = end if end >= 0 else (page.find("<", at) + 1 or len(page) + 1) - 1
         elif name in CONTROLS:
             if close:
                 if any(x[0] == name for x in reader.stack):
@@ -285,4 +303,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             texts = [extract(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_col), "url", F.col(html_col)).mapInArrow(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long")
+    return small_batches(pages).select(F.col(id_col), "url", F.col(html_col)).mapInArrow(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long")

@@ -480,6 +480,16 @@ def test_html_text_of_broken_and_tricky_pages(inside, want):
     assert html_text.extract(page).split("\n") == [" ".join(x.replace("{0}", LONG).split()) for x in want]
 
 
+@pytest.mark.parametrize("bit", ["<a ", "<!-- ", "<iframe>", "<p>", "<button>", '<p title="', "<", "<a href=x>", "&", "<div>", "</div>"])
+def test_html_text_takes_time_in_proportion(bit):
+    """No broken markup makes a long page take time with the square of its length."""
+    import time
+
+    began = time.process_time()
+    html_text.extract(f"<p>{LONG}</p>" + bit * (200_000 // len(bit)))
+    assert time.process_time() - began < 5
+
+
 def test_html_text_is_decided_by_ratios(monkeypatch):
     """Without article, main or telling names, short blocks beside the article go; without the ratios they would stay."""
     rng = random.Random(21)
