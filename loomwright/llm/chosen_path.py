@@ -380,7 +380,7 @@ def _classes(rows: DataFrame, similar: float, recall: float) -> tuple[DataFrame,
     """(doc, node, class_id, top, n_links, n_copies; numbers of texts as from several_texts) of rows (doc, text) with
     ids. ``node`` is the id, or the number of a text whose id has several; ``top`` is the class's node of the smallest
     id. All other tables on the way are removed."""
-    with scratch(rows.sparkSession) as tables:
+    with scratch(wordhash.small_batches(rows).sparkSession) as tables:
         keyed = materialise(_words(rows, "doc", "text"), "words")
         own = several_texts(rows, keyed)
         if own is not None:

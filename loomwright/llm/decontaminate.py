@@ -172,7 +172,7 @@ def _bit_map(sketched: DataFrame) -> np.ndarray:
 def matches(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc, text_key, item, n_shingles, n_common) of every text with at least ``contained`` of an item."""
     every = materialise(item_sketches(items, contained), "benchmark")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), _text_key(F.col("text")).alias("text_key"), "text").where("doc IS NOT NULL")
+    texts = wordhash.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), _text_key(F.col("text")).alias("text_key"), "text").where("doc IS NOT NULL")
     if every.count() * 37 <= broadcast_bytes:  # bytes of a row's numbers
         return texts.mapInArrow(_search(_partitions(every.toArrow()), contained), PAIRS).distinct()
     unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))

@@ -239,7 +239,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 def lm_scores(docs: DataFrame, mu: float = MU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
+    rows = wordhash.small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
     counts = materialise(word_counts(rows), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     documents = (counts.where(F.col("word") == int(END)).first() or {"n": 0})["n"]

@@ -302,7 +302,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_key and the sorted list of (start, end) in bytes that go). All other tables on the way are removed."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    with scratch(docs.sparkSession) as tables:
+    with scratch(wordhash.small_batches(docs).sparkSession) as tables:
         copies, spans = _spans(rows, tables)
     return rows, copies, spans
 

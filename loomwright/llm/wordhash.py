@@ -13,8 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK = 1 << 20
+#: The setting for the bytes of an Arrow batch, and what the operators use where a session does not set it: texts and sets
+#: of shingles are large, and a batch is held by the JVM and by a worker at once.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -40,6 +44,14 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends batches of a bounded size from now on, unless it has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
