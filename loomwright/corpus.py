@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import islice
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import content_hash, token_estimate
@@ -47,6 +48,11 @@ class Settings:
             raise ValueError("sizes must be positive, and vectors of 16 dimensions at least")
 
 
+    def merged(self, **overrides) -> Settings:
+        """These settings with others where they are given; None changes nothing."""
+        return replace(self, **{k: v for k, v in overrides.items() if v is not None})
+
+
 class Corpus:
     """chunks: id, document_id, collection, ordinal, text, kind, heading_context, document_title, source_type."""
 
@@ -174,6 +180,27 @@ class Corpus:
         hits = self.chunks.join(ids.select("id"), "id", "left_semi").select("document_id", "ordinal")
         return store.neighbours(self.chunks, hits, "document_id", "ordinal", width)
 
+    def chunk(self, id: int) -> Row:
+        """One chunk; a KeyError if there is none."""
+        return _only(self.chunks.where(F.col("id") == id), id)
+
+    def document(self, document_id: int) -> Row:
+        """One document's row, as in ``documents``; a KeyError if there is none."""
+        return _only(self.documents().where(F.col("document_id") == document_id), document_id)
+
+    def document_chunks(self, document_id: int) -> DataFrame:
+        return self.chunks.where(F.col("document_id") == document_id).orderBy("ordinal")
+
+    def pages_of_chunks(self, size: int = 500) -> Iterator[list[Row]]:
+        """All chunks in order of their ids, read off the cluster a page at a time."""
+        rows = self.chunks.orderBy("id").toLocalIterator(prefetchPartitions=True)
+        while page := list(islice(rows, size)):
+            yield page
+
+    def vectors_of(self, ids: DataFrame) -> DataFrame:
+        """id, embedding (unit length) of given chunks; those without a vector are left out."""
+        return self.embeddings().join(ids.select("id"), "id", "left_semi").where("embedding IS NOT NULL").select("id", vectors.l2_normalize(F.col("embedding")).alias("embedding"))
+
     def unembedded(self) -> DataFrame:
         return self.chunks if self._embeddings is None else store.missing(self.chunks, self._embeddings, ["id"])
 
@@ -191,6 +218,20 @@ class Corpus:
         return telemetry.heatmap(self.events, self.chunks.select(F.col("id").alias("chunk_id")))
 
 
+def _only(rows: DataFrame, key: object) -> Row:
+    found = rows.limit(1).collect()
+    if not found:
+        raise KeyError(key)
+    return found[0]
+
+
+def valid_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``queries`` with the query trimmed, rows that ask nothing and are to be rejected)."""
+    rows = queries.withColumn("query", F.trim("query"))
+    blank = F.coalesce(F.col("query"), F.lit("")) == ""
+    return rows.where(~blank), rows.where(blank)
+
+
 def embed_distinct(chunks: DataFrame, dim: int) -> tuple[DataFrame, Observation]:
     """(id, embedding of every chunk; an observation of hits and misses): each text is embedded once."""
     rows = chunks.select("id", "text", content_hash(F.col("text")).alias("hash"))

@@ -34,6 +34,17 @@ def locator(kind: str, **fields: Column) -> Column:
     return F.struct(*[values.get(k, F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()])
 
 
+def to_text(where: Column) -> Column:
+    """A locator as JSON, without what is null."""
+    return F.to_json(where)
+
+
+def from_text(stored: Column) -> Column:
+    """The locator that ``to_text`` wrote; null where it is none of the known kinds."""
+    where = F.from_json(stored, SCHEMA)
+    return F.when(where["kind"].isin(*KINDS), where)
+
+
 def _headings(where: Column, otherwise: Column) -> Column:
     path = where["heading_path"]
     return F.when(F.size(F.coalesce(path, F.array().cast("array<string>"))) > 0, F.array_join(F.slice(path, F.greatest(F.lit(1), F.size(path) - 1), F.lit(2)), " › ")).otherwise(otherwise)

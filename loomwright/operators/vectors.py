@@ -20,6 +20,8 @@ from loomwright.session import spread
 
 #: Query matrices up to this many values go to every task; larger query sets are taken in several passes.
 BLOCK_VALUES = 4_000_000
+#: Queries whose scores are worked out by expressions, at most.
+MOST_QUERIES = 1_000
 # Weights of the three kinds of features.
 WORD_WEIGHT, PAIR_WEIGHT, GRAM_WEIGHT = 1.0, 0.7, 0.35
 TOKEN = re.compile(r"[a-z0-9_]+")
@@ -144,7 +146,9 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_se
 
 
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same scores as expressions, for a small set of queries."""
+    """The same scores as expressions, for a small set of queries (counted; larger ones are for ``cosine_top_k``)."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
     q = F.broadcast(queries.select("query_id", l2_normalize(F.col("embedding")).alias("q")))
     return vectors.select("id", l2_normalize(F.col("embedding")).alias("v")).crossJoin(q).select("query_id", "id", dot(F.col("q"), F.col("v")).alias("score"))
 

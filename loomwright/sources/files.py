@@ -96,6 +96,30 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, most: in
     return rows.select(F.col("path"), F.col("name"), F.col("length").alias("size"), decoded(F.when(ok, F.col("content"))).alias("text"), route(F.col("path")).alias("connector"), F.when(~ok, "file too large").alias("error"))
 
 
+def expand(spark: SparkSession, source: str) -> list[str]:
+    """What a source stands for: an address or a text in place itself; a folder that is a Notion export itself; any
+    other folder its files as a walk finds them, and a pattern the files that match it, both sorted; else the source
+    as it is. A pattern without a match is an error."""
+    if re.match(r"^(?:https?://|inline:|gh:|github:)", source):
+        return [source]
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if any(c in source for c in "*?["):
+        found = sorted(str(f.getPath()) for f in store.globStatus(path) or [])
+        if not found:
+            raise FileNotFoundError(f"nothing matches {source}")
+        return found
+    if not store.exists(path) or not store.getFileStatus(path).isDirectory():
+        return [source]
+    inside = store.listStatus(path)
+    if any(re.search(r"[0-9a-f]{32}\.(?:md|csv)$", f.getPath().getName()) for f in inside):
+        return [source]
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+    root = re.sub(r"^[a-z]+:/*", "", str(store.makeQualified(path))).strip("/")
+    name = F.regexp_replace("path", f"^[a-z]+:/*{re.escape(root)}/?", "")
+    return sorted(r["path"] for r in rows.select("path").where(is_walked(name)).collect())  # names only
+
+
 def front_matter(text: Column) -> Column:
     """struct (meta: map of plain keys, body) of Markdown with --- lines before it."""
     head = F.regexp_extract(text, r"^---[ \t]*\n([\s\S]*?)\n---[ \t]*(?:\n|$)", 1)
