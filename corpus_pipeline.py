@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwright.llm import bpe, chosen_path, decontaminate, line_dedup, quality_rules
 from loomwright.llm.queries import tokenizer_file
-from loomwright.session import materialise, table
+from loomwright.session import scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = materialise(docs, f"stage{number}", compact=False)
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as tables:  # what a stage writes on the way goes with it
+            docs = tables.keep(stage(spark, docs, sf_dir), f"stage{number}", compact=False)
+    return STAGES[-1][1](spark, docs, sf_dir)
