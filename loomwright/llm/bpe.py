@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.wordhash import small_batches
+from loomwright.llm.wordhash import claim, small_batches
 
 CACHE = 250_000
 NUL = "\0"
@@ -287,7 +287,7 @@ def load(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def pieces(texts: list[str], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``size`` characters."""
     low = held = 0
     for i, t in enumerate(texts):
@@ -305,6 +305,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _LOADED.clear)
         bpe = load(path)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]

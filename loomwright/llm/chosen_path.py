@@ -50,6 +50,8 @@ RECALL = 0.9999
 SLACK = 0.2
 #: Tables of ids up to this many rows (counted) go to every task; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Sets leave a task in batches of about so many bytes.
+SENT_BYTES = 8 << 20
 SEED = 20240607
 
 
@@ -328,6 +330,7 @@ def links(texts: DataFrame, similar: float = SIMILAR, recall: float = RECALL) ->
         for batch in batches:
             ends, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
+            size = 0
             for i, (rep, grams) in enumerate(_grams_of(batch)):
                 own = np.zeros(runs, np.int64)
                 for e in ends[i]:
@@ -335,9 +338,10 @@ def links(texts: DataFrame, similar: float = SIMILAR, recall: float = RECALL) ->
                 for e in wanted[i]:
                     for c, v in zip(cols, (rep, e["run"], e["bucket"], e["n"], grams.tobytes(), own.tobytes()), strict=True):
                         c.append(v)
-                if len(cols[0]) >= 1000 or i == batch.num_rows - 1:
+                    size += grams.nbytes
+                if size >= SENT_BYTES or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-                    cols = [[], [], [], [], [], []]
+                    cols, size = [[], [], [], [], [], []], 0
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     names = ["rep", "run", "bucket", "n", "grams", "buckets"]

@@ -1,6 +1,6 @@
 """Groups of rows in Arrow batches: one exchange, one sort, and a task that walks its groups.
 
-For many small groups this costs far less than one Arrow stream per group; memory is bounded by one batch and
+For many small groups this costs far less than one Arrow stream per group; memory is bounded by one batch, ``BYTES`` and
 the largest group, which callers keep bounded.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from loomwright.llm.wordhash import trim
 
-ROWS = 20_000
+ROWS, BYTES = 20_000, 8 << 20
 
 
 def map_groups(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
@@ -29,8 +29,9 @@ def map_groups(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.Table
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            for low in range(0, batch.num_rows, ROWS):
-                held.append(batch.slice(low, ROWS))
+            step = max(1, min(ROWS, batch.num_rows * BYTES // max(1, batch.nbytes)))
+            for low in range(0, batch.num_rows, step):
+                held.append(batch.slice(low, step))
                 table = pa.Table.from_batches(held).combine_chunks()
                 cuts = boundaries(table, keys)
                 for a, b in zip(cuts[:-2], cuts[1:-1], strict=False):

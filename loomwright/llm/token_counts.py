@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.wordhash import small_batches
+from loomwright.llm.wordhash import claim, small_batches
 
 CACHE = 300_000
 UNKNOWN_PENALTY = 10.0
@@ -225,6 +225,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Per document: n_tokens and the score of its segmentation. ``kind`` is the file's: ``Unigram`` or ``Merges``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token counts", _LOADED.clear)
         model = load(path, kind)
         for batch in batches:
             done = [model.text(t.as_py() or "") for t in batch.column(1)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS
     if len(_POWERS[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK + 2)
         both = []
         for base in (BASE, INVERSE):
             p = np.full(size, base, np.uint64)
@@ -37,6 +37,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
+#: How to free what an operator keeps in this worker between tasks, by operator.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def claim(operator: str, free: Callable[[], object] | None = None) -> None:
+    """At the beginning of a task: what other operators keep in this worker is freed, as workers live on."""
+    others = [k for k in _KEPT if k != operator]
+    for other in others:
+        _KEPT.pop(other)()
+    if others:
+        trim()
+    if free is not None:
+        _KEPT[operator] = free
+
+
 def trim() -> None:
     """Give freed memory back, as Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -87,6 +102,7 @@ LOWER = _lower_table()
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows; null texts are empty."""
+    claim("hashes")
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
     if not n:
