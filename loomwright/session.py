@@ -18,7 +18,7 @@ SMALL_BYTES = 64 << 20
 #: Folders of our own by application, for local sessions without a shared folder.
 _OWN: dict[str, str] = {}
 #: What ``stored`` has built, by application and name.
-_STORED: dict[tuple[str, str], Any] = {}
+_STORED: dict[tuple[str, str], tuple[Any, list[str]]] = {}
 #: Written tables of the scopes that are open, innermost last.
 _SCOPES: list[list[str]] = []
 
@@ -74,16 +74,19 @@ def materialise(df: DataFrame, label: str, compact: bool = True) -> DataFrame:
 
 def stored(spark: SparkSession, name: str, build: Callable[[], T]) -> T:
     """What ``build`` writes, once per application and name; for tables that do not change while it runs. Outlives
-    all scopes."""
+    all scopes; built again if its files are gone."""
     key = spark.sparkContext.applicationId, name
-    if key not in _STORED:
-        open_ = _SCOPES[:]
-        _SCOPES.clear()
-        try:
-            _STORED[key] = build()
-        finally:
-            _SCOPES[:] = open_
-    return _STORED[key]
+    if key in _STORED:
+        found, paths = _STORED[key]
+        if all(files.exists(where) for files, where in (_on_disk(spark, p) for p in paths)):
+            return found
+    open_, paths = _SCOPES[:], []
+    _SCOPES[:] = [paths]
+    try:
+        _STORED[key] = build(), paths
+    finally:
+        _SCOPES[:] = open_
+    return _STORED[key][0]
 
 
 class Scratch:

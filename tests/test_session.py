@@ -33,6 +33,20 @@ def test_scopes_nest(spark):
     assert not any(x.startswith("nested-") for x in os.listdir(_folder(spark)))
 
 
+def test_stored_tables_outlive_scopes_and_are_built_again_if_lost(spark):
+    import shutil
+
+    built = []
+    build = lambda: built.append(1) or session.materialise(spark.range(7), "stored")
+    with session.scratch(spark):
+        first = session.stored(spark, "a test's", build)
+    assert first.count() == 7 and session.stored(spark, "a test's", build) is first and built == [1]
+    for x in os.listdir(_folder(spark)):
+        if x.startswith("stored-"):
+            shutil.rmtree(f"{_folder(spark)}/{x}")
+    assert session.stored(spark, "a test's", build).count() == 7 and built == [1, 1]
+
+
 class _Unset:
     """A session without the setting, on the given master."""
 
