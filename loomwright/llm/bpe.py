@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.wordhash import claim, small_batches
+from loomwright.llm.wordhash import claim, small_batches, trim
 
 CACHE = 250_000
 NUL = "\0"
@@ -317,5 +317,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 else:
                     cols = [pa.array([np.frombuffer(d[1], "<u4").astype("int32") for d in done], pa.list_(pa.int32())), pa.array([d[2] for d in done])]
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), counts, *cols], names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+                del done, cols, counts
+            del texts, ids
+        trim()
 
     return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, {kind}")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.wordhash import claim, small_batches
+from loomwright.llm.wordhash import claim, small_batches, trim
 
 CACHE = 300_000
 UNKNOWN_PENALTY = 10.0
@@ -230,5 +230,6 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             done = [model.text(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.float64())], names=[id_col, "n_tokens", "score"])
+        trim()
 
     return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 CHUNK = 1 << 20
 #: The setting for the bytes of an Arrow batch, and what the operators use where a session does not set it: texts and sets
 #: of shingles are large, and a batch is held by the JVM and by a worker at once.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
