@@ -12,10 +12,12 @@ are ruled out first, exactly:
    that windows with this anchor can reach. An anchor whose whole context (equal by hash) is also in a document
    with a smaller id is covered at once; a task does this for its own batch before it sends, so a context that a
    third of all documents share is one entry per batch, not per document.
-3. What is left - different contexts of one anchor hash - goes with its bytes to a shard. There all suffixes of all
-   contexts are put in order by external induced sorting with common prefixes (see suffix_sort: queues, names and
-   lists on disk, recursion on names, limited memory); neighbours that agree in ``LENGTH`` bytes are one string, and
-   the smallest document of each decides.
+3. What is left - different contexts of one anchor hash - goes with its bytes to a shard. A context can only share a
+   window with one that has the same anchor and agrees in the bytes that all windows of one of three kinds hold
+   besides it (see ``KINDS``); contexts that agree with no other document's are dropped. All suffixes of
+   the others are put in order by external induced sorting with common prefixes (see suffix_sort: queues, names and
+   lists on disk, recursion on names, limited memory), whole anchors at a time, ``SORT_BYTES`` of text or one anchor more;
+   neighbours that agree in ``LENGTH`` bytes are one string, and the smallest document of each decides.
 4. An anchor with more than about ``HOT`` different contexts is hot: a line on many pages. Hot anchors are found in a
    sample of the documents (one in ``HOT_SAMPLE``; which are found changes only where work is done), and their entries
    are spread over the shards by context. Equal strings around an anchor agree in ``SIDE`` bytes before it or in
@@ -39,11 +41,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm import wordhash
+from loomwright.llm.grouping import boundaries
 from loomwright.llm.suffix_sort import suffix_array
 from loomwright.session import Scratch, materialise, scratch
 
@@ -58,6 +62,12 @@ BATCH_BYTES = 8 << 20
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
 #: Of two sides that together agree in LENGTH - GRAM bytes, one agrees in so many.
 SIDE = (LENGTH - GRAM) // 2
+#: A window has between 0 and LENGTH - GRAM bytes before its anchor and the rest after it. By that number there are three
+#: kinds, in (bytes before, bytes after) that all windows of a kind have.
+THIRD = (LENGTH - GRAM) // 3
+KINDS = ((0, LENGTH - GRAM - THIRD + 1), (THIRD, LENGTH - GRAM - 2 * THIRD), (2 * THIRD + 1, 0))
+#: Bytes of contexts that are sorted at once.
+SORT_BYTES = 1 << 20
 ENTRY = np.dtype([("hash", "<u8"), ("context", "<u8"), ("pos", "<u4"), ("row", "<u2")])
 
 
@@ -220,23 +230,82 @@ def _match(table: pa.Table, hot: np.ndarray = np.zeros(0, np.uint64)) -> pa.Tabl
     pos = e["pos"].astype(np.int64)
     end = np.minimum(pos + AFTER, length.astype(np.int64))
     group_hash = np.where(covered, np.uint64(0), h).view(np.int64)
-    wordhash.trim()
     return pa.table({"doc": doc[keep], "text_key": key[keep], "pos": pos[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep], "hot": ((contexts > HOT)[group] | spread)[keep]})
 
 
+def _freed(table: pa.Table) -> pa.Table:
+    """A group's result; what was held for it is given back, as the worker lives on."""
+    wordhash.trim()
+    return table
+
+
 def _check(table: pa.Table) -> pa.Table:
     """One shard's contexts: the stretches that smaller documents also have, by suffix order."""
+    table = table.take(np.argsort(table["key"].to_numpy(), kind="stable")).combine_chunks()
+    ends = np.cumsum(pc.binary_length(table["context"]).to_numpy().astype(np.int64) + 1)
+    cuts = boundaries(table, ["key"])
+    found, held = [], []
+    low = size = 0
+    # equal strings have equal anchors, so each key stands alone
+    for b in cuts[1:]:
+        if b < table.num_rows and ends[b - 1] - (ends[low - 1] if low else 0) < SORT_BYTES:
+            continue
+        part = table.slice(low, b - low)
+        part = part.filter(pa.array(_agreeing(part)))
+        low = b
+        held.append(part)
+        size += part["context"].nbytes
+        if size > SORT_BYTES or b == table.num_rows:
+            found.append(_sorted_spans(pa.concat_tables(held)))
+            held, size = [], 0
+    return pa.concat_tables(found)
+
+
+def _bytes(contexts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, offsets) of binary values."""
+    if not len(contexts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    texts = pa.concat_arrays(contexts.chunks)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _agreeing(table: pa.Table) -> np.ndarray:
+    """Whether a context agrees with one of another document and the same key in the bytes of some kind of windows."""
+    keys, docs = table["key"].to_numpy(), table["doc"].to_numpy()
+    data, offsets = _bytes(table["context"])
+    power, inverse = wordhash._powers(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
+    anchor = offsets[:-1] + table["at"].to_numpy()
+    out = np.zeros(len(keys), bool)
+    for before, after in KINDS:
+        first, last = anchor - before, anchor + GRAM + after
+        some = np.flatnonzero((first >= offsets[:-1]) & (last <= offsets[1:]))
+        h = wordhash.mix((sums[last[some]] - sums[first[some]]) * inverse[first[some]])
+        order = np.lexsort((docs[some], h, keys[some]))
+        some, h = some[order], h[order]
+        n = len(some)
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (keys[some[1:]] != keys[some[:-1]])))[:n]
+        at = np.flatnonzero(new)
+        several = docs[some[at]] < docs[some[np.append(at[1:], n)[: len(at)] - 1]]
+        out[some[several[np.cumsum(new) - 1]]] = True
+    return out
+
+
+def _sorted_spans(table: pa.Table) -> pa.Table:
+    """The stretches of contexts that smaller documents also have."""
+    if not table.num_rows:
+        return pa.table({c: pa.array([], kind) for c, kind in (("doc", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))})
     docs, keys = table["doc"].to_numpy(), table["text_key"].to_numpy()
     begins = table["start"].to_numpy().astype(np.int64)
-    texts = table["context"].to_pylist()
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    raw, offsets = _bytes(table["context"])
+    sizes = np.diff(offsets)
     # suffix_array takes no zero byte, and UTF-8 text has neither 254 nor 255: raise all by one, 255 separates
-    data = np.frombuffer(b"\xff".join(texts), np.uint8)
-    shifted = np.where(data == 255, np.uint8(255), data + np.uint8(1))
-    first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    first = offsets[:-1] + np.arange(len(sizes))
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[: max(0, len(raw) + len(sizes) - 1)]
+    shifted = np.full(len(owner), 255, np.uint8)
+    shifted[np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes)] = raw + np.uint8(1)
     suffixes, common = suffix_array(shifted, LENGTH)
-    wordhash.trim()
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)[: len(data)]
     at = suffixes - first[owner[suffixes]]
     whole = at + LENGTH <= sizes[owner[suffixes]]
     group = np.cumsum(common < LENGTH) - 1
@@ -316,7 +385,7 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     rest = _ids(rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti").select("doc", "text_key", "text")
     hot = hot_anchors(rest)
     packed = rest.mapInArrow(_send_anchors(shards, hot), "shard long, docs binary, keys binary, lengths binary, entries binary, covered binary")
-    found = materialise(packed.groupBy("shard").applyInArrow(lambda table: _match(table, hot), FOUND), "anchors", compact=False)
+    found = materialise(packed.groupBy("shard").applyInArrow(lambda table: _freed(_match(table, hot)), FOUND), "anchors", compact=False)
     sure = found.where("anchor_hash = 0").selectExpr("doc", "text_key", START, "end")
     open_ = found.where("anchor_hash <> 0")
 
@@ -333,11 +402,12 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
                     if sides:
                         both = [(k, side) for k in range(len(pos)) for side in _sides(text, int(pos[k]), int(anchor[k]))]
                         at, keys = np.array([k for k, _ in both], np.int64), np.array([x for _, x in both], np.int64)
-                    start = np.maximum(pos - BEFORE, 0).astype(np.int32)[at]
+                    place = pos[at].astype(np.int32)
+                    start = np.maximum(place - BEFORE, 0)
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int64)), pa.array(start), pa.array([text[s:e] for s, e in zip(start, end[at], strict=True)], pa.binary())],
-                        names=["key", "doc", "text_key", "start", "context"],
+                        [pa.array(keys), pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int64)), pa.array(start), pa.array(place - start), pa.array([text[s:e] for s, e in zip(start, end[at], strict=True)], pa.binary())],
+                        names=["key", "doc", "text_key", "start", "at", "context"],
                     )
 
         return run
@@ -346,7 +416,7 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
         doubtful = materialise(some.select("doc", "text_key").distinct(), "doubtful")
         texts = _ids(rest, doubtful, "left_semi").dropDuplicates(["doc", "text_key"])
         wanted = some.groupBy("doc", "text_key").agg(F.collect_list(F.struct("pos", "end", "anchor_hash")).alias("wanted"))
-        return texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut(sides), "key long, doc long, text_key long, start int, context binary")
+        return texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut(sides), "key long, doc long, text_key long, start int, at int, context binary")
 
     to_check = contexts(open_.where("NOT hot"), False)
     by_windows = None
@@ -358,7 +428,7 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
             by_windows = _by_windows(spread.join(wide, "key", "left_semi"))
             spread = spread.join(wide, "key", "left_anti")
         to_check = to_check.unionByName(spread)
-    checked = to_check.withColumn("shard", F.pmod("key", F.lit(shards))).drop("key").groupBy("shard").applyInArrow(_check, "doc long, text_key long, start int, end int")
+    checked = to_check.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(lambda table: _freed(_check(table)), "doc long, text_key long, start int, end int")
     if by_windows is not None:
         checked = checked.unionByName(by_windows)
     spans = sure.unionByName(checked).groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -355,6 +355,42 @@ def _with_hot(bound: int):
     return run
 
 
+def test_suffix_dedup_sorts_whole_anchors(monkeypatch):
+    """A shard of any size is sorted a few anchors at a time, without contexts that agree with no other document's."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    word = lambda n: bytes(rng.choices(b"abcdefghij", k=n))
+    rows = []
+    for key in rng.sample(range(10**6), 60):
+        anchor, before = word(20), rng.choice([30, 30, 12, 0])
+        contexts: list[bytes] = []
+        for doc in range(12):
+            text = word(before) + anchor + word(50)
+            if doc % 3 == 1:  # equal to another in a window of 50 bytes, or in one byte less
+                at, n = rng.randrange(before + 1), rng.choice([50, 50, 49])
+                text = word(at) + rng.choice(contexts)[at : at + n] + word(before + 70 - at - n)
+            contexts.append(text)
+            rows.append((key, doc, key * 100 + doc, before + 7, before, text))
+    rng.shuffle(rows)
+    want = {}
+    for key, doc, text_key, start, _, text in rows:
+        less = {t[i : i + 50] for k, d, _, _, _, t in rows if k == key and d < doc for i in range(len(t) - 49)}
+        if gone := {start + i + j for i in range(len(text) - 49) if text[i : i + 50] in less for j in range(50)}:
+            want[doc, text_key] = gone
+    assert len(want) > 100
+    sizes, whole = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda a, depth: sizes.append(len(a)) or whole(a, depth))
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 4000, raising=False)
+    got = {}
+    for r in suffix_dedup._check(pa.table(dict(zip(["key", "doc", "text_key", "start", "at", "context"], map(list, zip(*rows, strict=True)), strict=True)))).to_pylist():
+        got.setdefault((r["doc"], r["text_key"]), set()).update(range(r["start"], r["end"]))
+    assert got == want
+    assert len(sizes) > 5 and max(sizes) < 10_000 and sum(sizes) < 0.8 * sum(len(r[-1]) for r in rows)
+    lone = {"key": [1, 1], "doc": [1, 2], "text_key": [3, 4], "start": [0, 0], "at": [0, 0], "context": [b"a" * 70, b"a" * 20 + b"b" * 50]}
+    assert suffix_dedup._check(pa.table(lone)).num_rows == 0
+
+
 def test_lm_scores(docs, empty):
     rows = lm_scores.lm_scores(docs).collect()
     assert len(rows) == len(corpus())
