@@ -66,8 +66,8 @@ SIDE = (LENGTH - GRAM) // 2
 #: kinds, in (bytes before, bytes after) that all windows of a kind have.
 THIRD = (LENGTH - GRAM) // 3
 KINDS = ((0, LENGTH - GRAM - THIRD + 1), (THIRD, LENGTH - GRAM - 2 * THIRD), (2 * THIRD + 1, 0))
-#: Bytes of contexts that are sorted at once.
-SORT_BYTES = 1 << 20
+#: Bytes of contexts that are sorted at once, and bytes of texts of which anchors are found at once.
+SORT_BYTES, RUN_BYTES = 1 << 20, 1 << 18
 ENTRY = np.dtype([("hash", "<u8"), ("context", "<u8"), ("pos", "<u4"), ("row", "<u2")])
 
 
@@ -104,10 +104,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches of (text) to different (anchor, context) hashes."""
     for batch in batches:
-        for _, data, offsets in wordhash.chunks(batch.column(0)):
+        for _, data, offsets in wordhash.chunks(batch.column(0), RUN_BYTES):
             _, _, h, context = anchors(data, offsets)
             both = np.unique(np.rec.fromarrays([h, context], names="h,context"))
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[c]).view(np.int64)) for c in ("h", "context")], names=["anchor", "context"])
+    wordhash.trim()
 
 
 def hot_anchors(rows: DataFrame) -> np.ndarray:
@@ -130,13 +131,14 @@ def _send_anchors(shards: int, hot: np.ndarray):
         base = 0
         sizes = []
         for part in texts:
-            for first, data, offsets in wordhash.chunks(part):
+            for first, data, offsets in wordhash.chunks(part, RUN_BYTES):
                 for out, x in zip(found, anchors(data, offsets), strict=True):
                     out.append(x)
                 found[0][-1] = found[0][-1] + base + first
                 sizes.append(np.diff(offsets))
             base += len(part)
         row, pos, h, context = (np.concatenate(x) for x in found)
+        found.clear()
         lengths = np.concatenate(sizes).astype(np.uint32)
         # equal contexts in this batch: only those of the smallest document go on
         order = np.lexsort((docs[row], context, h))
@@ -146,8 +148,10 @@ def _send_anchors(shards: int, hot: np.ndarray):
         covered = docs[row] > least
         entry = np.zeros(len(h), ENTRY)
         entry["hash"], entry["context"], entry["pos"], entry["row"] = h, context, pos, row
+        del pos, row, new, least
         key = np.where(_is_hot(h, hot), wordhash.mix(h ^ context), h)
         shard = ((key >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+        del h, context, key
         out = []
         order = np.argsort(shard, kind="stable")
         entry, shard, covered = entry[order], shard[order], covered[order]
@@ -171,11 +175,14 @@ def _send_anchors(shards: int, hot: np.ndarray):
                 if held and (size > BATCH_BYTES or rows + part.num_rows > 60_000):
                     yield from pack(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [x[2] for x in held])
                     held, size, rows = [], 0, 0
+                    wordhash.trim()
                 held.append((part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), part.column(2)))
                 size += part.column(2).nbytes
                 rows += part.num_rows
         if held:
             yield from pack(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [x[2] for x in held])
+        held = []
+        wordhash.trim()
 
     return run
 
@@ -382,7 +389,8 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     shards = max(8, -(-total // SHARD_BYTES))
     firsts = materialise(keyed.where("doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("least")), "firsts")
     copies = tables.keep(keyed.join(firsts, "digest").where((F.col("doc") > F.col("least")) & (F.col("n_bytes") >= LENGTH)).select("doc", "text_key").distinct(), "copies")
-    rest = _ids(rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti").select("doc", "text_key", "text")
+    long = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc", "text_key", "text")
+    rest = _ids(long, copies, "left_anti")
     hot = hot_anchors(rest)
     packed = rest.mapInArrow(_send_anchors(shards, hot), "shard long, docs binary, keys binary, lengths binary, entries binary, covered binary")
     found = materialise(packed.groupBy("shard").applyInArrow(lambda table: _freed(_match(table, hot)), FOUND), "anchors", compact=False)
@@ -414,7 +422,7 @@ def _spans(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
 
     def contexts(some: DataFrame, sides: bool) -> DataFrame:
         doubtful = materialise(some.select("doc", "text_key").distinct(), "doubtful")
-        texts = _ids(rest, doubtful, "left_semi").dropDuplicates(["doc", "text_key"])
+        texts = _ids(long, doubtful, "left_semi").dropDuplicates(["doc", "text_key"])
         wanted = some.groupBy("doc", "text_key").agg(F.collect_list(F.struct("pos", "end", "anchor_hash")).alias("wanted"))
         return texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted").mapInArrow(cut(sides), "key long, doc long, text_key long, start int, at int, context binary")
 
@@ -441,7 +449,8 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     touched = materialise(spans.select("doc", "text_key"), "touched")
     size = F.octet_length("text").cast("long")
     empty = F.sha2(F.lit(""), 256)
-    plain = _ids(_ids(rows, copies, "left_anti"), touched, "left_anti").select("doc", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    changed = materialise(copies.unionByName(touched), "changed")
+    plain = _ids(rows, changed, "left_anti").select("doc", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
     whole = _ids(rows, copies, "left_semi").select("doc", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -391,6 +391,47 @@ def test_suffix_dedup_sorts_whole_anchors(monkeypatch):
     assert suffix_dedup._check(pa.table(lone)).num_rows == 0
 
 
+def test_suffix_dedup_gives_memory_back():
+    """A worker that has sent its anchors holds no more than before."""
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np, pyarrow as pa, psutil
+from loomwright.llm import suffix_dedup, wordhash
+def run(n):
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        texts = [bytes(x).decode() for x in rng.integers(97, 123, (n, 2000), np.uint8)]
+        ids = pa.array(np.arange(n))
+        yield pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["doc", "text_key", "text"])
+send = suffix_dedup._send_anchors(8, np.zeros(0, np.uint64))
+held = lambda: psutil.Process().memory_info().rss >> 20
+assert sum(b.num_rows for b in send(run(10)))
+wordhash.trim()
+before = held()
+assert sum(b.num_rows for b in send(run(4000)))
+print(held() - before)
+"""
+    more = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert more < 30, f"{more} MB held after the task"
+
+
+def test_suffix_dedup_joins_documents_once(docs, monkeypatch):
+    """Copies are joined away once for the anchors and once, with all other changed documents, for the result."""
+    joins = {}
+
+    def counted(df, label):
+        joins[label] = df._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti")
+        return df
+
+    write, keep = suffix_dedup.materialise, suffix_dedup.Scratch.keep
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, label, **how: write(counted(df, label), label, **how))
+    monkeypatch.setattr(suffix_dedup.Scratch, "keep", lambda self, df, label, **how: keep(self, counted(df, label), label, **how))
+    counted(suffix_dedup.dedup_digest(docs), "result")
+    assert {k: n for k, n in joins.items() if n} == {"anchors": 1, "result": 1}
+
+
 def test_lm_scores(docs, empty):
     rows = lm_scores.lm_scores(docs).collect()
     assert len(rows) == len(corpus())
