@@ -232,9 +232,15 @@ def _match(table: pa.Table, hot: np.ndarray = np.zeros(0, np.uint64)) -> pa.Tabl
     contexts = np.bincount(group[new])  # different contexts of each hash
     first, last = np.minimum.reduceat(doc, np.flatnonzero(new_hash)), np.maximum.reduceat(doc, np.flatnonzero(new_hash))
     spread = _is_hot(h, hot)
-    check = new & (spread | ((contexts[group] > 1) & (first < last)[group]))
-    keep = covered | check
+    # of a context that its smallest document has at several places, every place: a smaller document may have part of it
+    check = ~covered & (spread | ((contexts[group] > 1) & (first < last)[group]))
     pos = e["pos"].astype(np.int64)
+    if (check & ~new).any():  # equal rows have equal places: one of each is checked
+        some, own = np.flatnonzero(check), np.cumsum(new)
+        some = some[np.lexsort((pos[some], key[some], own[some]))]
+        a, b = some[:-1], some[1:]
+        check[b[(own[a] == own[b]) & (key[a] == key[b]) & (pos[a] == pos[b])]] = False
+    keep = covered | check
     end = np.minimum(pos + AFTER, length.astype(np.int64))
     group_hash = np.where(covered, np.uint64(0), h).view(np.int64)
     return pa.table({"doc": doc[keep], "text_key": key[keep], "pos": pos[keep].astype(np.int32), "end": end[keep].astype(np.int32), "anchor_hash": group_hash[keep], "hot": ((contexts > HOT)[group] | spread)[keep]})
@@ -300,11 +306,18 @@ def _agreeing(table: pa.Table) -> np.ndarray:
 
 
 def _sorted_spans(table: pa.Table) -> pa.Table:
-    """The stretches of contexts that smaller documents also have."""
+    """The stretches of contexts that smaller documents also have. A context that a document has at several places is
+    sorted once."""
     if not table.num_rows:
         return pa.table({c: pa.array([], kind) for c, kind in (("doc", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))})
+    every = table.select(["doc", "text_key", "start"])
+    own = table["context"].combine_chunks().dictionary_encode()
+    own = (own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own).indices.to_numpy()
+    copies = np.lexsort((own, every["text_key"].to_numpy(), every["doc"].to_numpy()))
+    new = np.concatenate(([True], np.logical_or.reduce([x[copies[1:]] != x[copies[:-1]] for x in (own, every["text_key"].to_numpy(), every["doc"].to_numpy())])))
+    begin_of = np.append(np.flatnonzero(new), len(copies))
+    table = table.take(copies[new])
     docs, keys = table["doc"].to_numpy(), table["text_key"].to_numpy()
-    begins = table["start"].to_numpy().astype(np.int64)
     raw, offsets = _bytes(table["context"])
     sizes = np.diff(offsets)
     # suffix_array takes no zero byte, and UTF-8 text has neither 254 nor 255: raise all by one, 255 separates
@@ -328,9 +341,12 @@ def _sorted_spans(table: pa.Table) -> pa.Table:
     new = np.concatenate(([True], (who[1:] != who[:-1]) | (at[1:] > at[:-1] + LENGTH)))[:n]
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], n)[: len(begin)] - 1
-    start = begins[who[begin]] + at[begin]
-    stop = begins[who[begin]] + at[end] + LENGTH
-    return pa.table({"doc": docs[who[begin]], "text_key": keys[who[begin]], "start": start.astype(np.int32), "end": stop.astype(np.int32)})
+    times = np.diff(begin_of)[who[begin]]
+    span = np.repeat(np.arange(len(begin)), times)
+    place = copies[begin_of[who[begin]][span] + np.arange(len(span)) - np.repeat(np.cumsum(times) - times, times)]
+    base = every["start"].to_numpy().astype(np.int64)[place]
+    start, stop = base + at[begin][span], base + at[end][span] + LENGTH
+    return pa.table({"doc": docs[who[begin]][span], "text_key": keys[who[begin]][span], "start": start.astype(np.int32), "end": stop.astype(np.int32)})
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:

@@ -303,6 +303,19 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.dedup_digest(empty).count() == 0
 
 
+def test_suffix_dedup_of_passages_repeated_in_one_document(spark):
+    """A context that one document has twice, and a smaller one in part, goes at both places; also beside other texts of
+    the same id, and beside equal rows."""
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcdefghij \n") for _ in range(n))
+    shared, before, after = text(60), text(100), text(100)
+    whole = before + shared + after
+    rows = [(1, text(80) + shared + text(80)), (2, whole + text(200) + whole), (2, whole + text(200) + whole[50:]), (2, whole), (2, whole), (3, text(90))]
+    got = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.n_bytes, r.n_spans) for r in suffix_dedup.dedup_digest(got).collect() if r.n_removed and r.n_removed >= 60 * r.n_spans)
+    assert got == sorted((len(t), t.count(shared)) for i, t in rows if i == 2)
+
+
 def test_suffix_dedup_tells_contexts_apart():
     """Contexts of one anchor that agree in half of their hash are not one."""
     import pyarrow as pa
