@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.operators.best import CELLS, ROWS, Best
 from loomwright.session import spread
 
 #: Query matrices up to this many values go to every task; larger query sets are taken in several passes.
 BLOCK_VALUES = 4_000_000
-#: Queries whose scores are worked out by expressions, at most.
+#: Queries whose scores are laid out as rows, at most.
 MOST_QUERIES = 1_000
 # Weights of the three kinds of features.
 WORD_WEIGHT, PAIR_WEIGHT, GRAM_WEIGHT = 1.0, 0.7, 0.35
@@ -102,8 +103,8 @@ def hash_embed(df: DataFrame, text_col: str = "text", out: str = "embedding", di
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False, digits: int = 6) -> DataFrame:
     """query_id, id, score, rank: the best k of ``vectors`` (id, embedding) for each of ``queries`` (query_id,
     embedding) by exact cosine. Query vectors are taken in blocks of a bounded size; each task multiplies its
-    vectors with a block and keeps its own best k (and ties) per query, so the ranking sees k rows per task and
-    query. Vectors of another dimension fail; zero vectors have similarity 0."""
+    vectors with a block, some at a time, and keeps its own best k per query, so the ranking sees k rows per task and
+    query. Scores are rounded once, by the ranking. Vectors of another dimension fail; zero vectors have similarity 0."""
     rows = queries.select("query_id", "embedding").where("embedding IS NOT NULL").orderBy("query_id").toLocalIterator()
     found, block = None, []
 
@@ -114,22 +115,25 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_se
         matrix = matrix / np.where(lengths > 0, lengths, 1)[:, None]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(ids, k, digits)
+            step = max(1, CELLS // len(ids))
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                names = batch.column(0).to_numpy(zero_copy_only=False)
                 if pc.any(pc.not_equal(pc.list_value_length(batch.column(1)), matrix.shape[1])).as_py():
                     raise ValueError("vectors of different dimensions")
-                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                size = np.linalg.norm(rows, axis=1)
-                score = np.round((matrix @ (rows / np.where(size > 0, size, 1)[:, None]).T), digits + 3)
-                if exclude_self:
-                    score[ids[:, None] == names[None, :]] = -np.inf
-                least = -np.sort(-score, axis=1)[:, min(k, score.shape[1]) - 1]
-                q, v = np.nonzero((score >= least[:, None] - 10.0**-digits) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names[v]), pa.array(score[q, v])], names=["query_id", "id", "score"])
-
-        return vectors.select(F.col("id").cast("long"), "embedding").where("embedding IS NOT NULL").mapInArrow(run, "query_id long, id long, score double")
+                every = batch.column(0).to_numpy(zero_copy_only=False)
+                values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for low in range(0, batch.num_rows, step):
+                    names, rows = every[low : low + step], values[low : low + step].astype(np.float64)
+                    size = np.linalg.norm(rows, axis=1)
+                    score = matrix @ (rows / np.where(size > 0, size, 1)[:, None]).T
+                    if exclude_self:
+                        score[ids[:, None] == names[None, :]] = -np.inf
+                    best.add(0, names, score)
+            yield best.rows()
+
+        return vectors.select(F.col("id").cast("long"), "embedding").where("embedding IS NOT NULL").mapInArrow(run, ROWS)
 
     for row in rows:
         block.append(row)
@@ -145,11 +149,15 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_se
     return top_k(found, k, digits=digits)
 
 
+def few(queries: DataFrame) -> bool:
+    """Whether all scores of some queries may be laid out as rows and ranked (counted)."""
+    return queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
+
+
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same scores as expressions, for a small set of queries (counted; larger ones are for ``cosine_top_k``)."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    q = F.broadcast(queries.select("query_id", l2_normalize(F.col("embedding")).alias("q")))
+    """The same scores as expressions, of every pair; for the best of many queries there is ``cosine_top_k``."""
+    q = queries.select("query_id", l2_normalize(F.col("embedding")).alias("q"))
+    q = F.broadcast(q) if few(queries) else q
     return vectors.select("id", l2_normalize(F.col("embedding")).alias("v")).crossJoin(q).select("query_id", "id", dot(F.col("q"), F.col("v")).alias("score"))
 
 

@@ -37,6 +37,32 @@ def test_cosine_blocks_equal_expressions(spark, monkeypatch):
         assert [got[q, r] for r in range(1, 6)] == [i for _, i in sorted(sims)[:5]]
 
 
+def test_cosines_are_rounded_once(spark):
+    """0.1234564998 is 0.123456 to six digits, and not by way of nine digits 0.123457."""
+    c = 0.1234564998
+    vecs = spark.createDataFrame([(1, [c, math.sqrt(1 - c * c)]), (2, [0.0, 1.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [(r.id, r.score) for r in vectors.cosine_top_k(vecs, asked, 2).orderBy("rank").collect()] == [(1, 0.123456), (2, 0.0)]
+
+
+def test_best_rows_of_many_slices(monkeypatch):
+    """Ties go to the smaller id, whichever slice they come in, and as Spark rounds."""
+    from loomwright.operators import best
+
+    monkeypatch.setattr(best, "WAITING", 7)
+    rng = np.random.default_rng(2)
+    score = np.round(rng.random((3, 60)), 1)
+    score[1, 5:] = -np.inf
+    ids = rng.permutation(60)
+    held = best.Best(np.array([7, 8, 9]), 4, 6)
+    for low in range(0, 60, 8):
+        held.add(0, ids[low : low + 8], score[:2, low : low + 8])
+        held.add(2, ids[low : low + 8], score[2:, low : low + 8])
+    got = sorted((r["query_id"], -r["score"], r["id"]) for r in held.rows().to_pylist())
+    assert got == [(q, -s, i) for n, q in enumerate((7, 8, 9)) for s, i in sorted(((s, i) for s, i in zip(score[n], ids, strict=True) if s >= 0), key=lambda x: (-x[0], x[1]))[:4]]
+    assert best.rounded(np.array([0.0000005, -0.0000005, 1.4999999, 0.1234565]), 6).tolist() == [1, -1, 1500000, 123457]
+
+
 def test_hash_vectors():
     v = vectors.hash_vector("Hybrid search of ranks", 64)
     assert math.isclose(float(np.linalg.norm(v)), 1.0, rel_tol=1e-5) and not vectors.hash_vector("", 64).any()
