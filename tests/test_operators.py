@@ -37,6 +37,21 @@ def test_cosine_blocks_equal_expressions(spark, monkeypatch):
         assert [got[q, r] for r in range(1, 6)] == [i for _, i in sorted(sims)[:5]]
 
 
+def test_cosine_topk_of_many_queries(spark, tmp_path, monkeypatch):
+    """More queries than are laid out as rows are searched in blocks, with the same result."""
+    from loomwright.plans import retrieval_queries
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(0, 700, 7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = lambda: sorted(map(tuple, retrieval_queries.cosine_topk(spark, str(tmp_path)).select("query_id", "id", "score", "rank").collect()))
+    whole = found()
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 0)
+    assert len(whole) == 10 * sum(i % 100 == 0 for i, *_ in rows) and found() == whole
+    vecs = spark.createDataFrame(rows[:5], "id long, embedding array<float>, label long")
+    assert vectors.cosine_scores(vecs, vecs.withColumnRenamed("id", "query_id")).count() == 25
+
+
 def test_cosines_are_rounded_once(spark):
     """0.1234564998 is 0.123456 to six digits, and not by way of nine digits 0.123457."""
     c = 0.1234564998
