@@ -1,53 +1,69 @@
 """A stored inverted index: written once, searched by many batches of queries.
 
-A row is a term in a field of a chunk with the places where it stands. Rows are written in order of their terms, in
-ranges of term and chunk, so that a term which every chunk has is spread over many files, and a search for a few
-terms reads only the row groups that can hold them. Terms and numbers of chunks (the dictionary) and the lengths'
-mean are written beside it. Indexes are not changed: a corpus that gains or loses chunks gets a new one.
+The index is made of segments (see segments.py), each made within a task, so nothing is shuffled to build it. A segment's
+rows are in order of their terms, so a search for a few terms reads only the pages that can hold them; the rows that are
+found go, packed, to one task per segment, which counts the phrases of all queries there. Indexes are not changed: a corpus
+that gains or loses chunks gets a new one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.operators import search
-from loomwright.session import materialise, stored
+from loomwright.operators import search, segments
+from loomwright.session import materialise, small_batches, stored
 
-#: Terms that are named to the scan, at most; more are found by the join alone.
+#: Terms and prefixes that are named to the scan, at most; with more, all rows go to their segments' tasks.
 NAMED_TERMS = 5_000
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings: term, id, field, weight, len, places; dictionary: term, df; stats: one row n_docs, avg_len."""
+    """postings: rows of segments."""
 
     postings: DataFrame
-    dictionary: DataFrame
-    stats: DataFrame
+    fields: dict[str, float]
     stemmed: bool
 
-    def phrase_counts(self, wanted: DataFrame) -> DataFrame:
-        """phrase, id, f, len: weighted number of places where a phrase's tokens stand in a row, and the chunk's length."""
-        names = [r[0] for r in wanted.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
-        rows = self.postings.where(F.col("term").isin(names)) if len(names) <= NAMED_TERMS else self.postings
-        hits = rows.join(search.sized(wanted), "term")
-        single = hits.where("n = 1").groupBy("phrase", "id").agg(F.sum(F.col("weight") * F.size("places")).alias("f"), F.max("len").alias("len"))
-        at = hits.where("n > 1").withColumn("pos", F.explode("places"))
-        return single.unionByName(search.whole_phrases(at))
+    def hits(self, wanted: segments.Wanted) -> DataFrame:
+        """What each segment has of the phrases that are looked for."""
+        names, rows = wanted.names(), self.postings
+        starts: dict[int, list[str]] = {}
+        for start, _ in wanted.prefixes:
+            starts.setdefault(len(start), []).append(start)
+        if len(names) + len(wanted.prefixes) <= NAMED_TERMS:
+            named = F.col("term").isin("", *names)
+            for size, some in sorted(starts.items()):
+                named = named | F.left("term", F.lit(size)).isin(*some)
+            rows = rows.where(named)
+
+        def count(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([wanted.hits(table["segment"][0].as_py(), table)])
+
+        if not wanted.several:  # only phrases of several tokens need the places
+            rows = rows.withColumn("places", F.lit(b""))
+        return small_batches(rows).groupBy("segment").applyInArrow(count, segments.HITS)
 
 
 def build_index(chunks: DataFrame, id_col: str = "doc_id", fields: dict[str, float] | None = None, stemmed: bool = False) -> TextIndex:
     """The index of ``chunks``, written to the shared folder."""
     fields = fields or {"text": 1.0}
-    parts = materialise(search.analysed(chunks, id_col, fields, stemmed), "analysed")
-    at = search.occurrences(parts, fields)
-    rows = at.groupBy("term", "id", "field", "weight", "len").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    rows = materialise(rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "index", compact=False)
-    dictionary = rows.groupBy("term").agg(F.countDistinct("id").alias("df")) if len(fields) > 1 else rows.groupBy("term").agg(F.count("*").alias("df"))
-    return TextIndex(rows, materialise(dictionary, "dictionary"), materialise(search.corpus_stats(parts), "stats"), stemmed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for n, part in enumerate(segments.gathered(batches)):
+            table = segments.invert(*part)
+            segment = pa.array([task + n] * table.num_rows, pa.int64())
+            yield from table.add_column(0, "segment", segment).to_batches(max_chunksize=20_000)
+
+    parts = search.analysed(chunks.withColumn(id_col, F.col(id_col).cast("long")), id_col, fields, stemmed).select("id", *fields)
+    return TextIndex(materialise(small_batches(parts).mapInArrow(run, segments.ROW), "index", compact=False), fields, stemmed)
 
 
 def documents_index(chunks: DataFrame, name: str, **options) -> TextIndex:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 T = TypeVar("T")
 #: Tables below this size are worth spreading.
 SMALL_BYTES = 64 << 20
+#: The setting for the bytes of an Arrow batch, and what is used where a session does not set it.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Folders of our own by application, for local sessions without a shared folder.
 _OWN: dict[str, str] = {}
 #: What ``stored`` has built, by application and name.
@@ -34,6 +36,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Arrow batches of a bounded size from now on, unless it has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a local session (one machine) gets a
     folder of our own that goes with the process; on a cluster that would not be shared, so it is an error."""
