@@ -235,7 +235,7 @@ def pool(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
     docs = table(spark, d, "documents")
     hits = materialise(search.bm25_search(documents_index(spark, d), items(spark, d), k), "pool")
     rows = hits.join(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("document_title"), F.lit("").alias("heading_context"), F.lit("prose").alias("kind")), "id")
-    return rows.join(items(spark, d), "query_id")
+    return materialise(rows.join(items(spark, d), "query_id"), "candidates")  # its users read it several times, each time through all documents
 
 
 RERANK_TERMS = f"""{sql.bm25(30)}, terms AS (SELECT query_id, list_distinct(a) AS t FROM qb),
