@@ -84,3 +84,21 @@ def test_segments():
     nothing = segments.invert(np.array([1]), [lists([[]])])
     hit = segments.Wanted([("term", ("a",)), ("phrase", ("a", "b")), ("prefix", ("a",))], [1.0]).hits(0, nothing)
     assert np.frombuffer(hit["dfs"][0].as_py(), np.int64).tolist() == [0, 0, 0, 1, 0]
+
+
+def test_candidates_are_written_with_their_texts(spark, tmp_path):
+    """What uses the candidates does not read all documents again."""
+    from loomwright.plans import retrieval_queries
+
+    spark.createDataFrame([(i, f"alpha {i} beta", "s", "en") for i in range(9)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha 3 beta 4")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = retrieval_queries.pool(spark, str(tmp_path), 5)
+    assert rows.count() == 5 and not any("/documents.parquet" in f or "/benchmark.parquet" in f for f in rows.inputFiles())
+
+
+def test_stemming_takes_texts_in_parts(spark, monkeypatch):
+    """A worker holds the tokens of some texts, not of a whole batch of rows."""
+    chunks = spark.createDataFrame([(i, "Running ponies " * 40) for i in range(50)] + [(50, None)], "doc_id long, text string").repartition(1)
+    parts = search.analysed(chunks, "doc_id", {"text": 1.0}, True)
+    assert "MapInArrow" in parts._jdf.queryExecution().toString() and "ArrowEvalPython" not in parts._jdf.queryExecution().toString()
+    assert {(r.len, *r.text[:2]) for r in parts.collect()} == {(80, "run", "poni"), (0,)}
